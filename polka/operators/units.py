@@ -23,7 +23,6 @@ from polka.session import cut
 #: At most so many labelled tags teach the forest, spread over all by a hash of the id.
 TRAINING_ROWS = 20_000
 CONFIDENT = 0.9
-_CLASS = F.concat_ws("/", F.col("stated_dim"), F.col("stated_amount").cast("string"))
 _INPUTS = ["log_price", "log_contents", "contents_dim", "source", "kind", "promo_share"]
 
 
@@ -89,7 +88,7 @@ def fit_unit_model(labelled: DataFrame, max_rows: int = TRAINING_ROWS, trees: in
 
     A fifth of them is held out of the forest for the calibration.
     """
-    rows = labelled.where(F.col("stated_dim").isNotNull() & F.col("stated_roubles").isNotNull()).withColumn("_class", _CLASS)
+    rows = labelled.where(F.col("stated_dim").isNotNull() & F.col("stated_roubles").isNotNull()).withColumn("_class", F.concat_ws("/", F.col("stated_dim"), F.col("stated_amount").cast("string")))
     sample = rows.orderBy(F.xxhash64("tag_id"), "tag_id").limit(max_rows)
     sample = cut(_features(sample).select("_class", *_INPUTS, F.pmod(F.xxhash64("tag_id", F.lit(1)), F.lit(5)).alias("_fold")), "unit-sample")
     counts = sample.groupBy("_class").count().collect()  # one row per unit, a fixed vocabulary
