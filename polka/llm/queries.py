@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polka.llm import canon, encoding, entity, listings
+from polka.llm import canon, encoding, entity, listings, mixing, tokenise
 from polka.session import cut, table
 
 
@@ -37,5 +37,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return mapped.where("not exact").select("tag_id", "brand_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_matched, p2_found, p2_restored, p6_found, p6_groups, p7_found)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenise.encode_documents(table(spark, d, "documents"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_matched, p2_found, p2_restored, p6_found, p6_groups, p7_found, p8_ids, p9_mix, p9_shares)}
 SQL: dict[str, str] = {}
