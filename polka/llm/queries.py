@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polka.llm import canon, encoding, entity, listings, mixing, tokenise
+from polka.llm import canon, encoding, entity, listings, mixing, quality, tokenise
 from polka.session import cut, table
 
 
@@ -49,5 +49,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_matched, p2_found, p2_restored, p6_found, p6_groups, p7_found, p8_ids, p9_mix, p9_shares)}
+def p10_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return quality.classify_documents(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(p10_kinds(spark, d)).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_matched, p2_found, p2_restored, p6_found, p6_groups, p7_found, p8_ids, p9_mix, p9_shares, p10_found, p10_kinds)}
 SQL: dict[str, str] = {}

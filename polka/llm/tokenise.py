@@ -104,7 +104,8 @@ def encode_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", v
                 for n, (start, part) in enumerate(chunks_of(t, size, overlap)):
                     at = [start + o for o in e.starts(part)]
                     head = [o for o in at if start <= o < start + overlap]
-                    tail = [o for o in at if start + size <= o]
+                    # a piece must not end in white space: how that is split depends on what follows
+                    tail = [o for o in at if start + size <= o and not part[o - start - 1].isspace()]
                     yield pd.DataFrame({"doc_id": [doc], "n": [n], "start": [start], "part": [part], "head": [head], "tail": [tail]})
 
     parts = cut(once.where(long).mapInPandas(split, "doc_id bigint, n int, start bigint, part string, head array<bigint>, tail array<bigint>"), "chunks")
