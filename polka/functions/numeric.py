@@ -10,11 +10,16 @@ MAX_PRICE = 10_000_000.0
 NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 
 
+def number_text(x: Column, shape: str) -> Column:
+    """A number in a decimal shape such as ``0.00``, rounded half-even from its exact binary value."""
+    return F.call_function("format_number", x, F.lit(shape))
+
+
 def exact_round(x: Column, places: int) -> Column:
     """Half-even rounding of the exact binary value, NULL for NaN and infinities."""
     shape = "0" if places == 0 else "0." + "0" * places
     finite = F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
-    return F.format_number(finite, shape).cast("double") + F.lit(0.0)
+    return number_text(finite, shape).cast("double") + F.lit(0.0)
 
 
 def strict_double(text: Column) -> Column:

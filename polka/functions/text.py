@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from polka.functions.numeric import number_text
+
 # Abbreviations and what they stand for, applied in this order.
 ABBREVIATIONS = [
     (r"(?:мол\.?|м-ко)", "молоко"),
@@ -125,7 +127,7 @@ def _whole_units(clean: Column) -> Column:
         numbers = F.regexp_extract_all(clean, F.lit(pattern), F.lit(1))
         between = F.split(clean, pattern, -1)
         large = F.lit("л" if small == "мл" else "кг")
-        done = F.zip_with(whole, numbers, lambda w, x: F.coalesce(F.concat(F.format_number(measure(x, large), "0"), F.lit(small)), w))
+        done = F.zip_with(whole, numbers, lambda w, x: F.coalesce(F.concat(number_text(measure(x, large), "0"), F.lit(small)), w))
         clean = F.array_join(F.zip_with(between, F.concat(done, F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     clean = F.regexp_replace(clean, r"(?U)(\d+(?:\.\d+)?)\s*(?:мл|ml)\b", "$1мл")
     return F.regexp_replace(clean, r"(?U)(\d+(?:\.\d+)?)\s*(?:гр|г|g)\b", "$1г")
