@@ -33,7 +33,7 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     scans prune columns. The files survive the loss of any executor.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
