@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,11 +20,12 @@ from pyspark.sql.window import Window
 from polka.llm.encoding import restore_texts
 from polka.llm.forms import distance
 from polka.llm.fuzzyjoin import similar_words
-from polka.llm.product import Parser, cyrillic
-from polka.operators.units import deliveries_once, stated
+from polka.llm.product import Parser
+from polka.functions.measures import in_kopecks, with_price_unit
+from polka.operators.units import deliveries_once
 from polka.session import cut, salted_join
 
-PARSED = "kind string, fat double, dim string, total double, words array<string>, names array<string>, joined array<string>"
+PARSED = "kind string, flavour string, fat double, dim string, total double, names array<string>, joined array<string>"
 
 
 @dataclass(frozen=True)
@@ -58,8 +60,8 @@ def parse_names(df: DataFrame, name: str, size: str | None = None) -> DataFrame:
             rows = []
             for n, s in zip(names, sizes, strict=True):
                 p = parser.parse(n, s)
-                rows.append((p.kind, p.fat, p.dim, p.total, p.words, p.names, parser.joined(p.words)))
-            yield pd.DataFrame(rows, columns=["kind", "fat", "dim", "total", "words", "names", "joined"])
+                rows.append((p.kind, parser.flavour(p.words, p.kind), p.fat, p.dim, p.total, p.names, parser.joined(p.words)))
+            yield pd.DataFrame(rows, columns=["kind", "flavour", "fat", "dim", "total", "names", "joined"])
 
     def run1(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from run((s,) for s in it)
@@ -101,24 +103,31 @@ def line_words(cat: DataFrame) -> tuple[DataFrame, DataFrame]:
 def candidates(tags: DataFrame, cat: DataFrame) -> DataFrame:
     """``tag_id, sku, line, edits, letters``: items whose line word a tag has, exactly or nearly.
 
-    Tags none of whose words is exactly a line word are looked up by edit distance, also by
-    neighbouring words taken together; of several words of a pair the nearest counts.
+    Tags none of whose words is exactly a line word are looked up by edit distance, and those that
+    this finds nothing for by neighbouring words taken together. Of several words of a pair
+    the nearest counts.
     """
-    lines, brands = line_words(cat)
+    lines, others = line_words(cat)
     lines = cut(lines, "lines")
     said = tags.select("tag_id", F.explode("names").alias("word"))
     exact = salted_join(said, lines, ["word"], F.col("tag_id")).select("tag_id", "sku", F.col("word").alias("line"), F.lit(0).alias("edits"), F.length("word").alias("letters"))
     exact = cut(exact, "exact")
     rest = tags.join(exact.select("tag_id").distinct(), "tag_id", "left_anti")
-    loose = rest.select("tag_id", F.explode(F.concat("names", "joined")).alias("word")).where(F.length("word") >= 5).distinct()
-    loose = cut(loose.join(brands, "word", "left_anti"), "loose")
-    near = similar_words(loose, lines.where(F.length("word") >= 5))
-    close = near.join(loose.withColumnRenamed("word", "left_word"), "left_word").join(lines.withColumnRenamed("word", "right_word"), "right_word")
-    close = close.select("tag_id", "sku", F.col("right_word").alias("line"), "edits", F.length("right_word").alias("letters"))
+    single = _near(rest.select("tag_id", F.explode("names").alias("word")), lines, others)
+    lost = rest.join(single.select("tag_id").distinct(), "tag_id", "left_anti")
+    split = _near(lost.select("tag_id", F.explode("joined").alias("word")), lines, others)
+    close = single.unionByName(split)
     every = exact.unionByName(close)
     return every.groupBy("tag_id", "sku").agg(F.min_by(F.struct("line", "edits", "letters"), F.struct("edits", "line")).alias("b")).select("tag_id", "sku", "b.*")
 
 
+def _near(said: DataFrame, lines: DataFrame, others: DataFrame) -> DataFrame:
+    loose = cut(said.where(F.length("word") >= 5).distinct().join(others, "word", "left_anti"), "loose")
+    near = similar_words(loose, lines.where(F.length("word") >= 5))
+    close = near.join(loose.withColumnRenamed("word", "left_word"), "left_word").join(lines.withColumnRenamed("word", "right_word"), "right_word")
+    return cut(close.select("tag_id", "sku", F.col("right_word").alias("line"), "edits", F.length("right_word").alias("letters")), "near")
+
+
 def _score(e: Evidence):
     import math
 
@@ -129,22 +138,27 @@ def _score(e: Evidence):
             return []
         return [w for how, text in readings(brand) if how in ("as", "key", "as1", "key1", "cut") for w in text.split()]
 
+    def likeness(b: str, w: str) -> float:
+        if abs(len(b) - len(w)) <= 3:
+            return 1 - distance(b, w, 3) / max(len(b), len(w), 1)
+        return 0.8 if len(w) >= 3 and b.startswith(w) else 0.0
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parser = Parser()
+        typed_of = lru_cache(200_000)(brand_words)
+        alike = lru_cache(500_000)(likeness)
         for df in it:
             out = []
             for r in df.itertuples(index=False):
                 s = e.base + e.per_edit * r.edits * (8.0 / max(5, r.letters))
                 same = [w for w in r.i_names if w != r.line]
-                typed = brand_words(r.brand)
+                typed = typed_of(r.brand)
                 sim = 0.0
                 for b in same:
-                    for w in [*typed, *r.t_names]:
-                        n = max(len(b), len(w))
-                        if abs(len(b) - len(w)) <= 3 and n:
-                            sim = max(sim, 1 - distance(b, w, 3) / n)
-                        elif len(w) >= 3 and b.startswith(w):
-                            sim = max(sim, 0.8)
+                    if b in r.t_names or b in typed:
+                        sim = 1.0
+                        break
+                    for w in (*typed, *r.t_names):
+                        sim = max(sim, alike(b, w))
                 joined = "".join(same)
                 for w in typed:
                     if joined and abs(len(joined) - len(w)) <= 3:
@@ -157,12 +171,9 @@ def _score(e: Evidence):
                 k = 0
                 if r.t_kind and r.i_kind:
                     k, s = (1, s + e.kind_same) if r.t_kind == r.i_kind else (-1, s + e.kind_other)
-                flav, f = None, 0
-                own = [w for w in r.t_words if cyrillic(w) != r.line]
-                i_flav = parser.flavour([w for w in r.i_words if cyrillic(w) != r.line], r.i_kind)
-                flav = parser.flavour(own, r.i_kind)
-                if flav and i_flav:
-                    f, s = (1, s + e.flavour_same) if flav == i_flav else (-1, s + e.flavour_other)
+                f = 0
+                if r.t_flavour and r.i_flavour and r.t_kind == r.i_kind:
+                    f, s = (1, s + e.flavour_same) if r.t_flavour == r.i_flavour else (-1, s + e.flavour_other)
                 a = 0
                 if r.t_fat == r.t_fat and r.i_fat == r.i_fat and r.t_fat is not None and r.i_fat is not None:
                     a, s = (1, s + e.fat_same) if abs(r.t_fat - r.i_fat) <= 0.05 else (-1, s + e.fat_other)
@@ -192,13 +203,20 @@ def parsed_tags(price_tags: DataFrame) -> DataFrame:
     """Tags with a name, each once, with what they say (contents, price unit) and their parsed name."""
     once = deliveries_once(price_tags).where(F.trim(F.coalesce("product_name", F.lit(""))) != "")
     once = once.select("tag_id", "store_id", "captured_at", "shelf_ref", "product_name", "brand", "weight_volume", "regular_price", "unit", "notes")
-    return parse_names(stated(once), "product_name", "weight_volume")
+    kopecks, price = in_kopecks(F.col("unit")) | in_kopecks(F.col("notes")), F.col("regular_price")
+    roubles = F.when((price > 0) & (price < float("inf")), F.when(kopecks, price / 100.0).otherwise(price))
+    once = once.withColumn("stated_roubles", roubles).withColumn("_said", F.coalesce(F.nullif(F.trim("unit"), F.lit("")), "notes"))
+    once = with_price_unit(once, "_said", "stated_dim", "stated_amount")
+    place = F.coalesce("shelf_ref", F.concat(F.lit("tag:"), F.col("tag_id").cast("string")))
+    visit = F.concat_ws("/", F.col("store_id").cast("string"), F.to_date("captured_at").cast("string"))
+    parsed = parse_names(once, "product_name", "weight_volume")
+    return parsed.select("tag_id", place.alias("place"), visit.alias("visit"), "brand", "stated_roubles", "stated_dim", "stated_amount", "kind", "flavour", "fat", "dim", "total", "names", "joined")
 
 
 def score_candidates(pairs: DataFrame, tags: DataFrame, cat: DataFrame, evidence: Evidence = Evidence()) -> DataFrame:
     """Log-odds of each candidate pair with the verdict on each attribute (1 agrees, -1 conflicts, 0 unsaid)."""
-    t = tags.select("tag_id", "brand", "stated_roubles", "stated_dim", "stated_amount", *[F.col(c).alias(f"t_{c}") for c in ("kind", "fat", "dim", "total", "words", "names")])
-    i = cat.select("sku", "sale_price", *[F.col(c).alias(f"i_{c}") for c in ("kind", "fat", "dim", "total", "words", "names")])
+    t = tags.select("tag_id", "brand", "stated_roubles", "stated_dim", "stated_amount", *[F.col(c).alias(f"t_{c}") for c in ("kind", "flavour", "fat", "dim", "total", "names")])
+    i = cat.select("sku", "sale_price", *[F.col(c).alias(f"i_{c}") for c in ("kind", "flavour", "fat", "dim", "total", "names")])
     wide = salted_join(pairs, i, ["sku"], F.col("tag_id")).join(t, "tag_id")
     return wide.mapInPandas(_score(evidence), SCORED)
 
@@ -250,7 +268,7 @@ def match_tags(price_tags: DataFrame, items: DataFrame, evidence: Evidence = Evi
     tags = cut(parsed_tags(price_tags), "tags")
     scored = cut(score_candidates(candidates(tags, cat), tags, cat, evidence), "scored")
     scored = scored.where("flavour_ok >= 0 and fat_ok >= 0 and total_ok >= 0")
-    where = tags.select("tag_id", F.coalesce("shelf_ref", F.concat(F.lit("tag:"), F.col("tag_id").cast("string"))).alias("place"), F.concat_ws("/", F.col("store_id").cast("string"), F.to_date("captured_at").cast("string")).alias("visit"))
+    where = tags.select("tag_id", "place", "visit")
     located = scored.join(where, "tag_id")
     # a shelf place is recorded by a few tags that show one item: the place adds up their evidence
     placed = located.groupBy("place", "visit", "sku").agg(F.sum("log_odds").alias("log_odds"), F.count("*").alias("tags"))

@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 
 from polka.llm.entity import parse_names
 from polka.llm.fuzzyjoin import edits
-from polka.llm.product import Parser
 from polka.session import cut, salted_join
 
 WINDOW = 12
@@ -27,7 +26,7 @@ def parsed_listings(listings: DataFrame) -> DataFrame:
     def words(names: pd.Series, joined: pd.Series) -> pd.Series:
         return pd.Series([list(dict.fromkeys([*a, *b])) for a, b in zip(names, joined, strict=True)])
 
-    return df.select("listing_id", "list_price", "kind", "fat", "dim", F.round("total", 0).alias("total"), "words", F.pandas_udf(words, "array<string>")("names", "joined").alias("names"))
+    return df.select("listing_id", "list_price", "kind", "fat", "dim", F.round("total", 0).alias("total"), "flavour", F.pandas_udf(words, "array<string>")("names", "joined").alias("names"))
 
 
 def with_kinds(df: DataFrame) -> DataFrame:
@@ -80,38 +79,69 @@ def canonical_words(df: DataFrame, window: int = WINDOW) -> DataFrame:
     return up.select("kind", "word", F.col("up").alias("canon"), "n")
 
 
-def _cluster(rows: pd.DataFrame) -> pd.DataFrame:
-    """Clusters of the signatures of one line: full ones are products, partial ones join the nearest.
+def _cluster(rows: list[tuple]) -> list[int]:
+    """Cluster ids of the signatures ``(flavour, fat, dim, total, n, first_id, log_price)`` of one line.
 
     Two signatures agree if no attribute that both state differs. Pivots are taken in the order of
     how much they state, then how many listings have them; of several agreeing products the
     one of the nearest mean price is joined.
     """
-    attrs = ["flavour", "fat", "total"]
-    rows = rows.copy()
-    rows["stated"] = rows[attrs].notna().sum(axis=1)
-    order = rows.sort_values(["stated", "n", "first_id"], ascending=[False, False, True]).index
-    pivots: list[tuple[dict, float, int]] = []
-    out = {}
+    def own(r):
+        d = {"flavour": r[0], "fat": r[1], "dim": r[2] if r[3] is not None else None, "total": r[3]}
+        return {k: v for k, v in d.items() if v is not None}
+
+    def agrees(p, q):
+        return all(k not in p or (abs(p[k] - v) <= 0.011 * max(p[k], v) if k in ("fat", "total") else p[k] == v) for k, v in q.items())
+
+    mine = [own(r) for r in rows]
+    order = sorted(range(len(rows)), key=lambda i: (-len(mine[i]), -rows[i][4], rows[i][5]))
+    pivots: list[tuple[dict, float | None, int]] = []
+    out = [0] * len(rows)
     for i in order:
-        r = rows.loc[i]
-        own = {a: r[a] for a in attrs if pd.notna(r[a])}
-        if pd.notna(r["total"]):
-            own["dim"] = r["dim"]
+        price = rows[i][6]
         fits = []
-        for p, price, cid in pivots:
-            if all(k not in p or (abs(p[k] - v) <= 0.011 * max(p[k], v) if k in ("fat", "total") else p[k] == v) for k, v in own.items()):
-                known = sum(k in own for k in p)
-                gap = abs(price - r["log_price"]) if pd.notna(price) and pd.notna(r["log_price"]) else 9.0
-                fits.append((gap, -known, cid))
+        for p, other, cid in pivots:
+            if agrees(p, mine[i]):
+                gap = abs(other - price) if other is not None and price is not None else 9.0
+                fits.append((gap, -sum(k in mine[i] for k in p), cid))
         near = min(fits) if fits else None
         if near and (near[0] <= 0.6 or near[0] == 9.0):
             out[i] = near[2]
         else:
-            out[i] = int(r["first_id"])
-            pivots.append((own, r["log_price"], int(r["first_id"])))
-    rows["cluster"] = pd.Series(out)
-    return rows[["kind", "line", "flavour", "fat", "dim", "total", "price_bin", "cluster"]]
+            out[i] = rows[i][5]
+            pivots.append((mine[i], price, rows[i][5]))
+    return out
+
+
+SIGNATURE = ["kind", "line", "flavour", "fat", "dim", "total", "price_bin"]
+
+
+def cluster_signatures(signatures: DataFrame) -> DataFrame:
+    """Adds ``cluster``; the signatures of a line are read together, line after line, by sorted partitions."""
+
+    def run(it):
+        def clean(v):
+            return None if v is None or v != v else v
+
+        held: list[tuple] = []
+
+        def flush():
+            ids = _cluster([(r[2], r[3], r[4], r[5], r[7], r[8], r[9]) for r in held])
+            return [(*r[:7], c) for r, c in zip(held, ids, strict=True)]
+
+        for df in it:
+            done = []
+            for r in df.itertuples(index=False):
+                r = tuple(clean(v) for v in r)
+                if held and held[0][:2] != r[:2]:
+                    done += flush()
+                    held = []
+                held.append(r)
+            yield pd.DataFrame(done, columns=[*SIGNATURE, "cluster"])
+        yield pd.DataFrame(flush(), columns=[*SIGNATURE, "cluster"])
+
+    ordered = signatures.select(*SIGNATURE, "n", "first_id", "log_price").repartition("kind", "line").sortWithinPartitions("kind", "line", "first_id")
+    return ordered.mapInPandas(run, "kind string, line string, flavour string, fat double, dim string, total double, price_bin double, cluster bigint")
 
 
 def group_listings(listings: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -132,17 +162,12 @@ def group_listings(listings: DataFrame, window: int = WINDOW) -> DataFrame:
     line = words.groupBy("listing_id").agg(F.max_by("canon", F.struct((F.col("kinds") == 1).cast("int"), "size", F.length("canon"), "canon")).alias("line"))
     full = df.join(line, "listing_id", "left")
 
-    def flavour(words: pd.Series, kinds: pd.Series, lines: pd.Series) -> pd.Series:
-        parser = Parser()
-        return pd.Series([parser.flavour([w for w in ws if w != ln], k) for ws, k, ln in zip(words, kinds, lines, strict=True)], dtype="object")
-
-    full = full.withColumn("flavour", F.pandas_udf(flavour, "string")("words", "kind", F.coalesce("line", F.lit(""))))
     # only signatures that leave something out need prices to be told apart
     full = full.withColumn("price_bin", F.round(F.log("list_price") * 10)).withColumn("line", F.coalesce("line", F.concat(F.lit("id:"), F.col("listing_id").cast("string"))))
     full = cut(full.select("listing_id", "kind", "line", "flavour", "fat", "dim", "total", "price_bin", "list_price"), "signed")
-    keys = ["kind", "line", "flavour", "fat", "dim", "total", "price_bin"]
+    keys = SIGNATURE
     signatures = full.groupBy(*keys).agg(F.count("*").alias("n"), F.min("listing_id").alias("first_id"), F.avg(F.log("list_price")).alias("log_price"))
-    clusters = signatures.groupBy("kind", "line").applyInPandas(_cluster, "kind string, line string, flavour string, fat double, dim string, total double, price_bin double, cluster bigint")
+    clusters = cluster_signatures(signatures)
     right = clusters.select(*[F.col(k).alias(f"_{k}") for k in keys], "cluster")
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     out = full.join(right, same)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from polka.llm.forms import distance, fold, one_script, to_cyrillic
 from polka.llm.lexicon import FLAVOURS, KINDS, OTHER
@@ -24,9 +25,14 @@ _ONE = re.compile(r"(?<![\w./])(?:\d{1,4}[xх×*])?(\d+(?:\.\d+)?)\s*" + _ANY)
 _THOUSANDS = re.compile(r"(?<![\w.№#/])(\d{1,3})\s(\d{3})(?![\d.])(?=\s*" + _ANY + ")")
 
 
+_GRADE = re.compile(r"(?<!\w)[cс]\s?1(?!\w)|(?<![\w.])1\s?кат(?!\w)")
+_FIRST = re.compile(r"(?<![\w.])1\s?с(?:орт)?(?!\w)")
+_DECIMAL = re.compile(r"(?<=\d),(?=\d)")
+
+
 def tidy(text: str | None) -> str:
     t = _NOISE.sub("", fold(text or "").replace("\xa0", " ").replace(" ", " "))
-    t = re.sub(r"(?<=\d),(?=\d)", ".", t)
+    t = _DECIMAL.sub(".", t)
     return _THOUSANDS.sub(r"\1\2", t)
 
 
@@ -51,14 +57,12 @@ def contents(text: str | None) -> tuple[str | None, float | None]:
     return None, None
 
 
-def _meets(words: list[str], stem: str) -> bool:
-    if stem[0] == "=":
-        return stem[1:] in words
-    return any(w.startswith(stem) for w in words)
+def _starts(word: str, stem: str) -> bool:
+    return word == stem[1:] if stem[0] == "=" else word.startswith(stem)
 
 
-def _nearly(words: list[str], stem: str) -> bool:
-    return len(stem) >= 5 and stem[0] != "=" and any(len(w) >= len(stem) and distance(w[: len(stem)], stem, 1) <= 1 for w in words)
+def _nearly(word: str, stem: str) -> bool:
+    return len(stem) >= 5 and stem[0] != "=" and len(word) >= len(stem) and distance(word[: len(stem)], stem, 1) <= 1
 
 
 @dataclass
@@ -72,58 +76,73 @@ class Product:
 
 
 class Parser:
-    """Parses names with a lexicon of kinds, flavours and other words (all parameters)."""
+    """Parses names with a lexicon of kinds, flavours and other words (all parameters).
+
+    What a word means is worked out once and remembered: shelf words repeat in most names.
+    """
 
     def __init__(self, kinds=KINDS, flavours=FLAVOURS, other=OTHER):
-        self.kinds = {k: [way.split() for way in ways] for k, ways in kinds.items()}
+        self.ways = [(k, frozenset(way.split()), sum(len(x) + 4 for x in way.split())) for k, ways in kinds.items() for way in ways]
         self.flavours = flavours
-        stems = {s for ways in kinds.values() for way in ways for s in way.split()}
-        stems |= {s for f in flavours.values() for ss in f.values() for s in ss}
+        self.kind_stems = sorted({s for _, way, _ in self.ways for s in way})
+        self.single = [(k, next(iter(way))) for k, way, _ in self.ways if len(way) == 1]
+        stems = {*self.kind_stems, *(s for f in flavours.values() for ss in f.values() for s in ss)}
         self.exact = {s.lstrip("=") for s in stems} | {fold(w).strip(".!") for w in other}
         self.prefixes = tuple(s for s in stems if s[0] != "=" and len(s) >= 4)
+        self.script = lru_cache(300_000)(self._script)
+        self.stems_of = lru_cache(300_000)(lambda w: frozenset(s for s in self.kind_stems if _starts(w, s)))
+        self.is_name = lru_cache(300_000)(self._is_name)
+        self.contents = lru_cache(100_000)(contents)
+        self.flavour_of = lru_cache(300_000)(self._flavour_of)
+        self.kind_near = lru_cache(100_000)(lambda w: next((k for k, s in self.single if _nearly(w, s)), None))
+
+    def _script(self, w: str) -> str:
+        return one_script(w) if sum(ch.isalpha() for ch in w) >= 3 and w[0] not in "123456789" else w
 
     def words(self, text: str | None) -> list[str]:
-        t = tidy(text)
-        t = re.sub(r"(?<!\w)[cс]\s?1(?!\w)|(?<![\w.])1\s?кат(?!\w)", " с1 ", t)
-        t = re.sub(r"(?<![\w.])1\s?с(?:орт)?(?!\w)", " 1с ", t)
-        return [one_script(w) if len(re.findall("[a-zа-я]", w)) >= 3 and w[0] not in "123456789" else w for w in _WORD.findall(t)]
+        return self._words(tidy(text))
+
+    def _words(self, t: str) -> list[str]:
+        t = _GRADE.sub(" с1 ", t)
+        t = _FIRST.sub(" 1с ", t)
+        return [self.script(w) for w in _WORD.findall(t)]
 
     def kind(self, words: list[str]) -> str | None:
+        met = frozenset().union(*(self.stems_of(w) for w in words))
         best, score = None, 0
-        for k, ways in self.kinds.items():
-            for way in ways:
-                s = sum(len(x) for x in way) + 4 * len(way)
-                if s > score and all(_meets(words, x) for x in way):
+        if met:
+            for k, way, s in self.ways:
+                if s > score and way <= met:
                     best, score = k, s
         if best:
             return best
-        for k, ways in self.kinds.items():
-            for way in ways:
-                if len(way) == 1 and _nearly(words, way[0]):
-                    return k
-        return None
+        return next((k for w in words if (k := self.kind_near(w))), None)
+
+    def _flavour_of(self, word: str, kind: str, near: bool) -> str | None:
+        test = _nearly if near else _starts
+        return next((f for f, stems in self.flavours[kind].items() if any(test(word, s) for s in stems)), None)
 
     def flavour(self, words: list[str], kind: str | None) -> str | None:
         """The flavour the words name, given the kind; None if they name none or several."""
         if kind not in self.flavours:
             return None
-        options = self.flavours[kind]
-        for met in (_meets, _nearly):
-            hits = [f for f, stems in options.items() if any(met(words, s) for s in stems)]
+        for near in (False, True):
+            hits = {f for w in words if (f := self.flavour_of(w, kind, near))}
             if hits:
-                return hits[0] if len(hits) == 1 else None
+                return hits.pop() if len(hits) == 1 else None
         return None
 
-    def is_name(self, word: str) -> bool:
+    def _is_name(self, word: str) -> bool:
         """Whether a word may name a brand or a line: letters only, in no list of shelf words."""
         w = word.strip("-&")
         return len(w) >= 4 and w.replace("-", "").isalpha() and w not in self.exact and not w.startswith(self.prefixes)
 
     def parse(self, name: str | None, size: str | None = None) -> Product:
-        words = self.words(name)
-        fat = _FAT.search(tidy(name))
+        t = tidy(name)
+        words = self._words(t)
+        fat = _FAT.search(t)
         fat = float(fat[1]) if fat and 0 < float(fat[1]) <= 90 else None
-        dim, total = contents(size)
+        dim, total = self.contents(size)
         if dim is None:
             dim, total = contents(name)
         names = [cyrillic(w) for w in words if self.is_name(w)]
@@ -141,6 +160,7 @@ class Parser:
         return list(dict.fromkeys(out))
 
 
+@lru_cache(300_000)
 def cyrillic(word: str) -> str:
     w = word.strip("-&")
     return to_cyrillic(w) if re.search("[a-z]", w) else w
