@@ -96,7 +96,7 @@ class Repairer:
 
     def __init__(self, pairs: dict[str, float]):
         self.pairs = pairs
-        self.word = lru_cache(500_000)(self._word)
+        self.word = lru_cache(50_000)(self._word)
 
     def likelihood(self, text: str) -> float:
         """Mean log-probability of the letter pairs of ``text``; characters out of place count as STRANGE."""

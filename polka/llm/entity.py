@@ -144,8 +144,8 @@ def _score(e: Evidence):
         return 0.8 if len(w) >= 3 and b.startswith(w) else 0.0
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        typed_of = lru_cache(200_000)(brand_words)
-        alike = lru_cache(500_000)(likeness)
+        typed_of = lru_cache(20_000)(brand_words)
+        alike = lru_cache(50_000)(likeness)
         for df in it:
             out = []
             for r in df.itertuples(index=False):
@@ -271,8 +271,8 @@ def match_tags(price_tags: DataFrame, items: DataFrame, evidence: Evidence = Evi
     where = tags.select("tag_id", "place", "visit")
     located = scored.join(where, "tag_id")
     # a shelf place is recorded by a few tags that show one item: the place adds up their evidence
-    placed = located.groupBy("place", "visit", "sku").agg(F.sum("log_odds").alias("log_odds"), F.count("*").alias("tags"))
-    sizes = where.groupBy("place").agg(F.count("*").alias("size"))
+    placed = located.groupBy("place", "sku").agg(F.sum("log_odds").alias("log_odds"), F.count("*").alias("tags"))
+    sizes = where.groupBy("place").agg(F.count("*").alias("size"), F.min("visit").alias("visit"))
     placed = placed.join(sizes, "place").withColumn("log_odds", F.col("log_odds") - 4.0 * (F.col("size") - F.col("tags")))
     marginal = propagate(placed)
     pairs = located.join(marginal, ["place", "sku"])

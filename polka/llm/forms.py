@@ -45,12 +45,12 @@ def one_script(word: str) -> str:
     return "".join(TO_LATIN.get(ch) or DIGIT_LATIN.get(ch, ch) for ch in word)
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def to_latin(word: str) -> str:
     return "".join(CYR_LAT.get(ch, ch) for ch in word)
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def to_cyrillic(word: str) -> str:
     out, i = [], 0
     while i < len(word):
@@ -70,7 +70,7 @@ def retyped(text: str) -> str:
     return fold("".join(KEYBOARD.get(ch, ch) for ch in text))
 
 
-@lru_cache(200_000)
+@lru_cache(30_000)
 def distance(a: str, b: str, limit: int = 9) -> int:
     """Edits with swaps of neighbours (optimal string alignment); ``limit + 1`` beyond ``limit``."""
     if a == b:

@@ -89,12 +89,12 @@ class Parser:
         stems = {*self.kind_stems, *(s for f in flavours.values() for ss in f.values() for s in ss)}
         self.exact = {s.lstrip("=") for s in stems} | {fold(w).strip(".!") for w in other}
         self.prefixes = tuple(s for s in stems if s[0] != "=" and len(s) >= 4)
-        self.script = lru_cache(300_000)(self._script)
-        self.stems_of = lru_cache(300_000)(lambda w: frozenset(s for s in self.kind_stems if _starts(w, s)))
-        self.is_name = lru_cache(300_000)(self._is_name)
-        self.contents = lru_cache(100_000)(contents)
-        self.flavour_of = lru_cache(300_000)(self._flavour_of)
-        self.kind_near = lru_cache(100_000)(lambda w: next((k for k, s in self.single if _nearly(w, s)), None))
+        self.script = lru_cache(40_000)(self._script)
+        self.stems_of = lru_cache(40_000)(lambda w: frozenset(s for s in self.kind_stems if _starts(w, s)))
+        self.is_name = lru_cache(40_000)(self._is_name)
+        self.contents = lru_cache(20_000)(contents)
+        self.flavour_of = lru_cache(40_000)(self._flavour_of)
+        self.kind_near = lru_cache(20_000)(lambda w: next((k for k, s in self.single if _nearly(w, s)), None))
 
     def _script(self, w: str) -> str:
         return one_script(w) if sum(ch.isalpha() for ch in w) >= 3 and w[0] not in "123456789" else w
@@ -160,7 +160,7 @@ class Parser:
         return list(dict.fromkeys(out))
 
 
-@lru_cache(300_000)
+@lru_cache(40_000)
 def cyrillic(word: str) -> str:
     w = word.strip("-&")
     return to_cyrillic(w) if re.search("[a-z]", w) else w
