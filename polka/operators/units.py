@@ -96,8 +96,8 @@ def fit_unit_model(labelled: DataFrame, max_rows: int = TRAINING_ROWS, trees: in
         return None
     pipeline = Pipeline(stages=[
         StringIndexer(inputCol="_class", outputCol="label", handleInvalid="keep"),
-        FeatureHasher(inputCols=_INPUTS, outputCol="features", numFeatures=256),
-        RandomForestClassifier(numTrees=trees, maxDepth=8, seed=seed),
+        FeatureHasher(inputCols=_INPUTS, outputCol="features", numFeatures=64),
+        RandomForestClassifier(numTrees=trees, maxDepth=8, seed=seed, featureSubsetStrategy="0.5"),
     ])
     model = pipeline.fit(sample.where("_fold > 0"))
     labels = [*model.stages[0].labels, "?"]

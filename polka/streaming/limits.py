@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -89,22 +90,26 @@ def session_stream(events: DataFrame, ttl: float = 1800.0, most_items: int = 50,
     """Outcomes of uploads ``user_id, ts, bytes``; a timer of processing time drops idle sessions."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = Session(ttl, most_items, per_item, most_bytes, tuple(state.get) if state.exists else None)
-        out = []
-        if state.hasTimedOut:
+        held = tuple(state.get) if state.exists else None
+        s = Session(ttl, most_items, per_item, most_bytes, held[:-1] if held else None)
+        out, touched = [], time.time()
+        if state.hasTimedOut and held and touched - held[-1] < ttl:  # the timer came early: wait for the rest
+            state.update(held)
+            state.setTimeoutDuration(int(ttl * 1000))
+        elif state.hasTimedOut:
             if s.items:
                 s.items = s.pending = 0
                 s.version += 1
             out.append((key[0], s.version, 0, 0, "expired", s.updated))
-            state.update(s.state())
+            state.update((*s.state(), touched))
         else:
             rows = pd.concat(list(batches)).sort_values("t")
             for t, size in zip(rows["t"], rows["bytes"], strict=True):
                 got = s.add(int(size) if size == size else 0, t)
                 out.append((key[0], s.version, s.items, s.pending, got, t))
-            state.update(s.state())
+            state.update((*s.state(), touched))
             state.setTimeoutDuration(int(ttl * 1000))
         yield pd.DataFrame(out, columns=["user_id", "session", "items", "bytes", "outcome", "at"])
 
     timed = events.where("user_id is not null and ts is not null").select("user_id", F.col("bytes").cast("double").alias("bytes"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    return timed.groupBy("user_id").applyInPandasWithState(step, SESSIONS, "version int, items bigint, pending bigint, processing bigint, updated double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return timed.groupBy("user_id").applyInPandasWithState(step, SESSIONS, "version int, items bigint, pending bigint, processing bigint, updated double, touched double", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -1,0 +1,191 @@
+from __future__ import annotations
+
+import datetime as dt
+import random
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import polka.plans.oracles as oracles
+import polka.plans.reference as reference
+from polka.operators import catalog, guardrails, match, payload, pricing, review
+
+CATALOG = [
+    ("104921", "Молоко Домик в деревне ультрапастеризованное 3.2% 930мл", 60.0, 99.9, 89.9), ("104922", "Молоко Домик в деревне ультрапастеризованное 2.5% 930мл", 58.0, 95.9, None),
+    ("201844", "Кофе Нескафе Голд растворимый 190г", 300.0, 549.9, 499.9), ("201845", "Кофе Нескафе Голд растворимый 95г", 170.0, 319.9, None),
+    ("305112", "Сыр Брест-Литовск российский 45% 200г брус", 120.0, 219.9, None), ("409201", "Масло сливочное Простоквашино 82.5% 180г", 130.0, 229.9, 199.9),
+]
+GOLDEN = {
+    "Домик в дер. 3,2% мол. 0,93л пл/бут": "104921", "Молоко 2.5% Домик в деревне 930 мл": "104922", "Нескафе Голд кофе 190г раств.": "201844",
+    "Кофе 95г Nescafe Gold": None, "Сыр 45% 200г брусок Брест Литовск российский": "305112", "82.5% масло сливочн. 180г Простоквашино": "409201",
+}
+
+
+def items(spark, rows=CATALOG):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_idx bigint, sku string, name string, purchase_price double, sale_price double, promo_price double")
+
+
+def tags(spark, rows):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "obs_id bigint, product_name string, brand string, weight_volume string")
+
+
+def test_golden_names(spark):
+    out = match.match_all(tags(spark, [(n, None, None) for n in GOLDEN]), items(spark)).orderBy("obs_id").collect()
+    for r, (name, sku) in zip(out, GOLDEN.items(), strict=True):
+        if sku:
+            assert r["matched_sku"] == sku, name
+            assert r["candidates"][0]["sku"] == sku
+
+
+def test_match_constraints(spark):
+    rows = [("1", "Йогурт Активный 180 г", 1.0, 2.0, None), ("2", "Йогурт Активный 200 г", 1.0, 2.0, None), ("3", "Йогурт Активный 1 л", 1.0, 2.0, None), ("4", "Чай Гринфилд", 1.0, 2.0, None), ("5", "Чай Гринфилд", 1.0, 2.0, None)]
+    asked = [("Йогурт Активный", None, "200 г"), ("Йогурт Активный 2.5% 1 кг", None, None), ("Йогурт Активный 200 г", "Другой Бренд", None), ("Чай Гринфилд", None, None), ("  ", None, None), (None, None, None), ("Йогурт Актвный 200 г", "", None)]
+    out = match.match_all(tags(spark, asked), items(spark, rows)).orderBy("obs_id").collect()
+    assert [r["matched_sku"] for r in out] == ["2", None, None, None, None, None, "2"]
+    assert out[3]["match_reason"] == "ambiguous" and len(out[3]["candidates"]) == 2 and out[3]["match_score"] > 72
+    assert out[4]["match_reason"] == "no name"
+    assert match.match_all(tags(spark, asked), items(spark, rows).limit(0)).where("matched_sku is not null").count() == 0
+
+
+def test_trigram_fallback_is_bounded_and_stable(spark):
+    rows = [(str(i), f"Товар{i} наполнитель{i}", 1.0, 2.0, None) for i in range(520)] + [("999", "Нескафе", 1.0, 2.0, None)]
+    got = [match.match_all(tags(spark, [("Нескафэ", None, None)]).repartition(3), items(spark, rows).repartition(n), threshold=70.0).first()["matched_sku"] for n in (1, 4)]
+    assert got == ["999", "999"]
+
+
+def test_ratios_against_plain_lcs():
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            prev, row = row, [0]
+            for j, y in enumerate(b, 1):
+                row.append(prev[j - 1] + 1 if x == y else max(prev[j], row[j - 1]))
+        return row[-1]
+
+    rnd = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rnd.choice("аб в") for _ in range(rnd.randrange(12))) for _ in "ab")
+        assert match.lcs_length(a, b) == lcs(a, b)
+    assert round(match.token_ratios("нескафэ", "нескафе")[0], 1) == 85.7
+    assert match.token_ratios("а б", "б а в") == (match.indel_ratio("а б", "а б в"), 100.0)
+    assert match.token_ratios("", "а")[1] == 0.0
+
+
+METRIC = "matched_sku string, matched_name string, our_purchase_price double, our_sale_price double, our_promo_price double, regular_price double, promo_price double, unit string, extraction_status string, promo_condition string, weight_volume string"
+
+
+def metric(spark, *rows):
+    base = ("1", "Товар 500 г", 300.0, 400.0, None, 100.0, None, "шт", "ok", None, None)
+    names = [x.split()[0] for x in METRIC.split(", ")]
+    return pricing.price_metrics(spark.createDataFrame([tuple(r.get(n, b) for n, b in zip(names, base, strict=True)) for r in rows], METRIC)).collect()
+
+
+def test_price_metrics(spark):
+    a, b, c, d = metric(spark, {"unit": "100г"}, {"unit": "кг", "regular_price": 800.0}, {"unit": "л", "weight_volume": "930 мл"}, {"unit": "ведро"})
+    assert (a["comp_regular_price"], a["price_index_effective"], a["status"]) == (500.0, 125.0, "own_cheaper")
+    assert b["comp_regular_price"] == 400.0 and c["comp_regular_price"] == 93.0 and d["comp_regular_price"] is None and d["data_quality_warnings"]
+    bands = metric(spark, *[{"our_sale_price": 100.0, "regular_price": p} for p in (102.04, 102.0, 98.0, 97.96, float("inf"))])
+    assert [r["status"] for r in bands] == ["own_cheaper", "parity", "parity", "competitor_cheaper", "unknown"]
+    e, f, g = metric(spark, {"promo_price": 120.0}, {"promo_price": 80.0, "promo_condition": "1+1 при покупке двух"}, {"our_purchase_price": 550.0, "regular_price": 500.0})
+    assert e["comp_effective_price"] == 100.0 and not e["comp_promo_applied"] and e["data_quality_warnings"] == ["competitor promo above regular"]
+    assert f["conditional_promo"] and f["comp_effective_price"] == 100.0 and g["is_dumping"] and g["alert"]
+
+
+def test_summary_of_nothing_and_of_stale_figures(spark):
+    rows = spark.createDataFrame([("nan", 100.0, 100.0, "parity", False), ("", 100.0, 150.0, "own_cheaper", True), ("7", None, 5.0, "unknown", False)], "matched_sku string, our_effective_price double, comp_effective_price double, status string, is_dumping boolean")
+    s = pricing.summarize(rows).first()
+    assert (s["matched_items"], s["comparable_items"], s["avg_price_index"], s["basket_price_index"], s["dumping_alerts_count"]) == (1, 2, 125.0, 125.0, 1)
+    e = pricing.summarize(rows.limit(0)).first()
+    assert e["total_items"] == 0 and e["avg_price_index"] is None and e["match_rate"] == 0.0 and e["total_our_basket"] == 0.0
+    assert "no data" in review.bot_text(pricing.summarize(rows.limit(0))).first()["report"]
+
+
+def raw_catalog(spark, header, rows):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_idx bigint, " + ", ".join(f"c{i} string" for i in range(len(header)))).toDF("row_idx", *header)
+
+
+def test_catalog_headers(spark):
+    df = raw_catalog(spark, ["Код", "Номенклатура", "Закуп", "Цена продажи", "Промо"], [("1", "Сыры", None, None, None), ("0002", "Сыр", "0", "79,9", "69.9")])
+    row = catalog.load_catalog(df).first()
+    assert (row["sku"], row["purchase_price"], row["sale_price"], row["promo_price"]) == ("0002", None, 79.9, 69.9)
+    df = raw_catalog(spark, ["a", "b", "c"], [("Прайс", None, None), ("Код товара", "Товар", "Цена"), ("Код товара", "Товар", "Цена"), ("000123", "Сыр", "149,9")])
+    assert catalog.resolve(df)[1] == 2 and catalog.load_catalog(df).first()["sku"] == "000123"
+    with pytest.raises(catalog.CatalogError):
+        catalog.load_catalog(raw_catalog(spark, ["sku", "name", "price", "sale_price"], [("1", "a", "1", "2")]))
+    with pytest.raises(catalog.CatalogError):
+        catalog.load_catalog(raw_catalog(spark, ["sku", "sale_price"], [("1", "2")]))
+
+
+@pytest.mark.parametrize("rows", [[("1", "a", "-1")], [("1", "a", "inf")], [("1", "a", "abc")], [(None, "a", "1")], [("1", "a", "1"), ("1", "b", "2")], [("1", "a", None)], [("1", "a", "0")]])
+def test_catalog_constraints_fail_closed(spark, rows):
+    with pytest.raises(catalog.CatalogError):
+        catalog.load_catalog(raw_catalog(spark, ["sku", "name", "price"], rows))
+
+
+def test_payloads(spark):
+    good = '{"product_name": "Сыр", "regular_price": "99,5", "unit": "100 г", "confidence": 0.91}'
+    bad = {"json": "x " + good, "confidence": good.replace("0.91", "99"), "unit": good.replace("100 г", "тонна"), "regular_price": good.replace("99,5", "-1"), "product_name": good.replace("Сыр", " ")}
+    df = spark.createDataFrame([(good,), ("```json\n" + good + "\n```",), *((v,) for v in bad.values()), (None,)], "payload string")
+    out = payload.validate_payloads(df).collect()
+    assert [r["error_code"] for r in out] == [None, None, *bad, "json"]
+    assert (out[0]["regular_price"], out[0]["unit"], out[0]["confidence"], out[0]["extraction_status"]) == (99.5, "100г", 0.91, "ok")
+
+
+def test_gate_override_lookup(spark):
+    df = spark.createDataFrame([(1, 0.9, "ok"), (2, float("nan"), "ok"), (3, 1.1, "ok"), (4, 0.2, "ok"), (5, 0.9, "error"), (6, None, "ok")], "id int, confidence double, extraction_status string")
+    assert [(r["gate"], r["extraction_status"]) for r in match.confidence_gate(df).orderBy("id").collect()] == [("match", "ok"), ("bad confidence", "error"), ("bad confidence", "error"), ("low confidence", "ok"), ("failed", "error"), ("bad confidence", "error")]
+    o = spark.createDataFrame([(1, None)], "id int, confidence double")
+    assert {r["id"]: r["confidence"] for r in match.override_rows(df.where("id < 3 and id <> 2"), o, "id", ["confidence"]).collect()} == {1: None}
+
+
+def at(s):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+
+
+def test_limits(spark):
+    ev = spark.createDataFrame([(i, 1, at(t)) for i, t in enumerate((0, 1, 2, 10))], "event_id bigint, user_id bigint, ts timestamp")
+    got = {r["event_id"]: (r["accepted"], r["retry_after"]) for r in guardrails.rate_limit(ev, 2, 10.0).collect()}
+    assert got == {0: (True, 0.0), 1: (True, 0.0), 2: (False, 8.0), 3: (True, 0.0)}
+    ev = spark.createDataFrame([(0, 101, at(0)), (1, 101, at(5)), (2, 101, at(10)), (3, 202, at(20)), (4, 101, at(61))], "event_id bigint, user_id bigint, ts timestamp")
+    got = {r["event_id"]: (r["accepted"], r["retry_after"]) for r in guardrails.rate_limit(ev, 2, 60.0, gap=10.0).collect()}
+    assert got == {0: (True, 0.0), 1: (False, 5.0), 2: (True, 0.0), 3: (True, 0.0), 4: (True, 0.0)}
+    s = guardrails.sessions(spark.createDataFrame([(i, 1, at(t)) for i, t in enumerate((0, 9.9, 19.9))], "event_id bigint, user_id bigint, ts timestamp"), 10.0)
+    assert [r["session"] for r in s.orderBy("event_id").collect()] == [1, 1, 2]
+    assert guardrails.rate_limit(ev.limit(0), 2, 60.0).count() == 0
+
+
+def test_breaker_and_allow_list(spark):
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate("feffff")], "k int, t int, o string")
+    runs = {(r["run_start"], r["run_length"], r["tripped"]) for r in guardrails.breaker_runs(df, F.col("o") == "f", ["k"], ["t"]).collect()}
+    assert runs == {(0, 1, False), (2, 4, True)}
+    texts = ["123, 456;789\n123", "0", "-1", "1 x", "", " ", "9223372036854775808", "1.5"]
+    got = [r["ids"] for r in guardrails.allowed_ids(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
+    assert got == [[123, 456, 789], *[None] * 7]
+
+
+def test_report_cells(spark):
+    rows = pricing.price_metrics(spark.createDataFrame([("=1", None, 1.0, 100.0, None, 120.0, None, "шт", "ok", None, None)], METRIC)).withColumn("product_name", F.lit("+x"))
+    r = review.report_rows(rows).first()
+    assert r["sku"] == "'=1" and r["name"] == "'-" and r["recognised"] == "'+x" and r["price_index"] == 1.2
+
+
+@pytest.fixture(scope="module")
+def db():
+    import os
+
+    c = duckdb.connect()
+    for f in os.listdir("/root/testdata/sf0.001"):
+        c.execute(f"create view {f[:-8]} as select * from '/root/testdata/sf0.001/{f}'")
+    return c
+
+
+@pytest.mark.parametrize("name", ["price_index_summary", "price_metrics_rows", "status_distribution", "catalog_clean", "localized_number", "header_normalize", "token_postings", "ngram_postings", "fuzzy_ratios", "payload_validate", "rate_limit_per_user", "session_ttl", "report_rows", "text_normalize"])
+def test_query_against_sql(spark, db, name):
+    df = reference.QUERIES[name](spark, "/root/testdata/sf0.001")
+    want = db.execute(oracles.SQL[name])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(df.columns)
+    key = lambda rows: sorted(repr(tuple(r)) for r in rows)
+    clean = lambda v: float(v) if isinstance(v, float) else v
+    assert key([clean(r[n]) for n in names] for r in df.collect()) == key([clean(v) for v in r] for r in want.fetchall())
