@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import io
 import struct
+import time
 import zipfile
 
 import pytest
@@ -107,19 +108,22 @@ def test_session_rules():
     assert s.release() and s.add(1, 12.0) == "ok" and s.add(1, 22.0, expected=s.version) == "session_closed"
 
 
-def stream(spark, tmp_path, rows, schema, op, name):
+def stream(spark, tmp_path, rows, schema, op, name, expect):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
     df = spark.readStream.schema(schema).parquet(str(tmp_path / name))
-    q = op(df).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = op(df).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(processingTime="200 milliseconds").start()
+    deadline = time.time() + 60  # a stream with timers never runs out of batches: wait for the rows
+    while time.time() < deadline and spark.table(name).count() < expect:
+        time.sleep(0.5)
+    q.stop()
     return spark.table(name).collect()
 
 
 def test_streams(spark, tmp_path):
     at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
     rows = [(i, u, at(t)) for i, (u, t) in enumerate([(1, 0), (1, 1), (1, 2), (2, 2), (1, 10)])]
-    got = {r["event_id"]: r["accepted"] for r in stream(spark, tmp_path, rows, "event_id bigint, user_id bigint, ts timestamp", lambda df: rate_limit_stream(df, 2, 10.0), "limits")}
+    got = {r["event_id"]: r["accepted"] for r in stream(spark, tmp_path, rows, "event_id bigint, user_id bigint, ts timestamp", lambda df: rate_limit_stream(df, 2, 10.0), "limits", 5)}
     assert got == {0: True, 1: True, 2: False, 3: True, 4: True}
     rows = [(1, at(0), 5), (1, at(1), 99), (1, at(2), 3), (None, at(2), 3)]
-    got = [r["outcome"] for r in stream(spark, tmp_path, rows, "user_id bigint, ts timestamp, bytes bigint", lambda df: session_stream(df, 100.0, 5, 10, 20), "uploads")]
+    got = [r["outcome"] for r in stream(spark, tmp_path, rows, "user_id bigint, ts timestamp, bytes bigint", lambda df: session_stream(df, 100.0, 5, 10, 20), "uploads", 3)]
     assert got == ["ok", "item_bytes", "ok"]
