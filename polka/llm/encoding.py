@@ -182,6 +182,8 @@ class Repairer:
             ruled = hits.count(main) * 5 >= whole * 3 and main >= 0  # the pair that damaged most words
             out = []
             for i, (w, (r, k)) in enumerate(zip(words, done, strict=True)):
+                if ruled and k not in (-1, main) and (again := ungarble(w, *PAIRS[main])) and self._natural(again):
+                    r = again  # the pair that damaged the other words is likelier than another one
                 if k < 0 and not w.isascii():
                     strange = any(ch not in SOUND for ch in w)
                     for n in sorted(set(hits), key=lambda n: -hits.count(n)):
