@@ -83,8 +83,8 @@ def test_every_pair_of_encodings_is_restored(spark):
     assert not any(out[i]["damaged"] for i in range(len(GOOD)))
     assert all(out[i]["restored"] == GOOD[i] for i in range(len(GOOD)))
     assert all(out[i]["damaged"] for i in [*bad, 3000, 3001]) and not out[3002]["damaged"] and not out[3003]["damaged"]
-    right = sum(out[i]["restored"] == base for i in bad)
-    assert right >= 0.9 * len(bad), [out[i]["restored"] for i in bad if out[i]["restored"] != base]
+    words = [w == v for i in bad for w, v in zip(out[i]["restored"].split(" "), base.split(" "), strict=False)]
+    assert sum(words) >= 0.97 * len(words), [out[i]["restored"] for i in bad if out[i]["restored"] != base]
     assert out[2000]["restored"] == base and out[2001]["restored"] == base and out[3002]["restored"] is None
     assert encoding.restore_texts(df.limit(0)).count() == 0
 
