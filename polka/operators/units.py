@@ -38,7 +38,9 @@ def stated(tags: DataFrame) -> DataFrame:
     ``notes`` for the price's unit. Null or blank fields say nothing.
     """
     df = with_contents(tags, "weight_volume", "_field_dim", "_field_total")
-    df = with_contents(df, "product_name", "_name_dim", "_name_total")
+    # the name is read only where the field says nothing
+    df = df.withColumn("_name", F.when(F.col("_field_dim").isNull(), F.col("product_name")))
+    df = with_contents(df, "_name", "_name_dim", "_name_total")
     df = df.withColumn("_said", F.coalesce(F.nullif(F.trim("unit"), F.lit("")), "notes"))
     df = with_price_unit(df, "_said", "stated_dim", "stated_amount")
     kopecks = in_kopecks(F.col("unit")) | in_kopecks(F.col("notes"))
