@@ -150,7 +150,7 @@ def group_listings(listings: DataFrame, window: int = WINDOW) -> DataFrame:
     Listings with an empty or NULL name are groups of their own. Repeated rows count once;
     extra columns are ignored; an empty table gives an empty result.
     """
-    df = cut(with_kinds(parsed_listings(listings)), "listings")
+    df = cut(with_kinds(cut(parsed_listings(listings), "parsed")), "listings")
     canon = cut(canonical_words(df, window), "canon")
     words = df.select("listing_id", "kind", F.explode("names").alias("word"))
     words = salted_join(words, canon, ["kind", "word"], F.col("listing_id"))
