@@ -194,7 +194,7 @@ def schema_versions(files: DataFrame, lines: DataFrame, scan: DataFrame | None =
     cols = wide.select("feed_id", "file_id", "price_date", F.col("z.field").alias("field"), F.col("z.header").alias("header"))
     # two columns of one file may name the same field: the first counts, ties by header text
     cols = cols.groupBy("feed_id", "file_id", "price_date", "field").agg(F.min("header").alias("header"))
-    cols = cols.join(field_kinds(scan), ["file_id", "field"], "left")
+    cols = cut(cols.join(field_kinds(scan), ["file_id", "field"], "left"), "columns")
     sign = F.concat_ws("=", "field", F.lower("header"), F.coalesce("kind", F.lit("?")))
     prints = cols.groupBy("feed_id", "file_id", "price_date").agg(F.sha2(F.concat_ws("|", F.sort_array(F.collect_list(sign))), 256).alias("fingerprint"))
     order = Window.partitionBy("feed_id").orderBy("price_date", "file_id")
