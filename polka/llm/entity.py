@@ -221,14 +221,15 @@ def score_candidates(pairs: DataFrame, tags: DataFrame, cat: DataFrame, evidence
     return wide.mapInPandas(_score(evidence), SCORED)
 
 
-def propagate(odds: DataFrame, rounds: int = 8, tolerance: float = 1e-3, again: float = 0.05) -> DataFrame:
+def propagate(odds: DataFrame, rounds: int = 500, tolerance: float = 1e-3, again: float = 0.05) -> DataFrame:
     """Marginals of a matching by loopy belief propagation.
 
     ``odds`` has ``place`` (takes at most one item), ``visit``, ``sku`` (an item stands at one place
     of a visit; each further place costs the factor ``again``, since an item may be put up
     twice and tags without a shelf place repeat one) and ``log_odds`` against showing none. Each round sends place-to-item and
-    item-to-place messages through two aggregations and joins; it ends when no message
-    moves by more than ``tolerance`` or after ``rounds``. Returns ``place, sku, probability``.
+    item-to-place messages through two aggregations and joins. A visit leaves when none of its
+    messages moves by more than ``tolerance``; visits do not act on each other. ``rounds`` is only a
+    safety bound: visits still moving after it raise ``RuntimeError``. Returns ``place, sku, probability``.
     Places that share no item with another of their visit need no messages; they are solved at once.
     """
     w = odds.select("place", "visit", "sku", F.exp(F.least(F.greatest("log_odds", F.lit(-30.0)), F.lit(30.0))).alias("w"))
@@ -238,6 +239,7 @@ def propagate(odds: DataFrame, rounds: int = 8, tolerance: float = 1e-3, again:
     loopy = cut(w.join(tied, "place", "left_semi").withColumn("back", F.lit(1.0)), "bp-0")
     total = Window.partitionBy("place")
     by_item = Window.partitionBy("visit", "sku")
+    settled, moving = [], None
     for k in range(1, rounds + 1):
         # place to item: belief in the item against all others the place may show
         sent = loopy.withColumn("all", F.sum(F.col("w") * F.col("back")).over(total))
@@ -247,13 +249,20 @@ def propagate(odds: DataFrame, rounds: int = 8, tolerance: float = 1e-3, again:
         others = F.greatest(F.col("load") - F.col("to_item"), F.lit(0.0))
         sent = sent.withColumn("new", (1.0 + again * others) / (1.0 + others))
         sent = sent.select("place", "visit", "sku", "w", (0.5 * F.col("back") + 0.5 * F.col("new")).alias("back"), F.abs(F.col("new") - F.col("back")).alias("moved"))
-        loopy = cut(sent, f"bp-{k}")
-        moved = loopy.agg(F.max("moved")).first()[0]
-        loopy = loopy.drop("moved")
-        if moved is None or moved <= tolerance:
+        sent = cut(sent, f"bp-{k}")
+        restless = cut(sent.groupBy("visit").agg(F.max("moved").alias("moved")).where(F.col("moved") > tolerance).select("visit"), f"restless-{k}")
+        before, moving = moving, restless.count()
+        sent = sent.drop("moved")
+        if moving != before:
+            settled.append(sent.join(restless, "visit", "left_anti").select(*w.columns, "back") if moving else sent.select(*w.columns, "back"))
+        if not moving:
             break
-    alone = w.join(tied, "place", "left_anti").withColumn("back", F.lit(1.0))
-    every = alone.unionByName(loopy)
+        loopy = sent.join(restless, "visit", "left_semi")
+    if moving:
+        raise RuntimeError(f"messages of {moving} visits still move by more than {tolerance} after {rounds} rounds")
+    every = w.join(tied, "place", "left_anti").withColumn("back", F.lit(1.0))
+    for part in settled:
+        every = every.unionByName(part)
     every = every.withColumn("all", F.sum(F.col("w") * F.col("back")).over(total))
     return every.select("place", "sku", (F.col("w") * F.col("back") / (1.0 + F.col("all"))).alias("probability"))
 

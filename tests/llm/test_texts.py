@@ -154,6 +154,29 @@ def test_propagation_against_enumeration(spark):
     assert entity.propagate(odds.limit(0)).count() == 0
 
 
+def test_propagation_settles(spark):
+    """Contested visits against an own iteration run far beyond the tolerance."""
+    import math
+
+    rnd = random.Random(5)
+    rows = [(f"{v}/{p}", v, f"i{i}", rnd.gauss(2, 2)) for v in "abcd" for p in range(8) for i in rnd.sample(range(5), 3)]
+    rows += [("z/1", "z", "i0", 1.0), ("z/2", "z", "i0", 9.0)]
+    back, w = [1.0] * len(rows), [math.exp(r[3]) for r in rows]
+    all_of = lambda xs, key: {k: sum(x for x, r in zip(xs, rows, strict=True) if key(r) == k) for k in map(key, rows)}
+    for _ in range(300):
+        places = all_of([a * b for a, b in zip(w, back, strict=True)], lambda r: r[0])
+        to = [a / (1 + places[r[0]] - a * b) for a, b, r in zip(w, back, rows, strict=True)]
+        items = all_of(to, lambda r: r[1:3])
+        back = [0.5 * b + 0.5 * (1 + 0.05 * (o := items[r[1:3]] - t)) / (1 + o) for b, t, r in zip(back, to, rows, strict=True)]
+    places = all_of([a * b for a, b in zip(w, back, strict=True)], lambda r: r[0])
+    want = {(r[0], r[2]): a * b / (1 + places[r[0]]) for a, b, r in zip(w, back, rows, strict=True)}
+    odds = spark.createDataFrame(rows, "place string, visit string, sku string, log_odds double")
+    got = [(r["place"], r["sku"], r["probability"]) for r in entity.propagate(odds).collect()]
+    assert len(got) == len(rows) and {(p, i): x for p, i, x in got} == pytest.approx(want, abs=1e-3)
+    with pytest.raises(RuntimeError, match="visits still move"):
+        entity.propagate(odds, rounds=3)
+
+
 def test_listings_are_grouped(spark):
     rows = [
         (1, "Кофе растворимый ВЕРХОПОЛЬЕ Мемесока 150 г ХИТ!", None, 450.0), (2, "акция кофе раств. мемесокка", "0,15 кг", 430.0), (3, "растворимый кофе Memesoka верхополье", "150г", 470.0),
