@@ -21,6 +21,15 @@ def _keys(column: str) -> Column:
     return F.pandas_udf(run, "array<bigint>")(column)
 
 
+def keys_within(word: Column, n: Column) -> Column:
+    """Hashes of what deleting up to ``n`` letters leaves; words within ``n`` edits share one."""
+
+    def run(words: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([[_hash(k) for k in deletes(w, d)] for w, d in zip(words, ns, strict=True)])
+
+    return F.pandas_udf(run, "array<bigint>")(word, n)
+
+
 def _hash(key: str) -> int:
     import xxhash
 

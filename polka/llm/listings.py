@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from polka.llm.entity import parse_names
-from polka.llm.fuzzyjoin import edits
+from polka.llm.fuzzyjoin import edits, keys_within
 from polka.session import cut, salted_join
 
 WINDOW = 12
@@ -39,11 +39,12 @@ def with_kinds(df: DataFrame) -> DataFrame:
 
 
 def neighbours(words: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``kind, a, b``: distinct words of a kind that are near in one of several sort orders and alike.
+    """``kind, a, b, edits``: all distinct words of a kind that are alike.
 
-    The orders: by the word, by the word from its end, and by its consonants. Each row is
-    compared with the ``window`` next ones; runs are cut by the first letters of the key, so that
-    no task sorts more than the words of a kind with one beginning.
+    They meet in one of several sort orders (by the word, by the word from its end, and by its
+    consonants), where each row is compared with the ``window`` next ones; runs are cut by the first
+    letters of the key, so that no task sorts more than the words of a kind with one beginning.
+    What the orders part meets on equal deletions, so that no alike pair is missed.
     """
     keys = F.array(
         F.concat(F.lit("f"), F.col("word")),
@@ -54,7 +55,11 @@ def neighbours(words: DataFrame, window: int = WINDOW) -> DataFrame:
     run = Window.partitionBy("kind", F.substring("key", 1, 3)).orderBy("key", "word")
     near = passes.withColumn("next", F.collect_list("word").over(run.rowsBetween(1, window)))
     pairs = near.select("kind", F.col("word").alias("x"), F.explode("next").alias("y")).where("x != y")
-    pairs = pairs.select("kind", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = pairs.select("kind", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    length = F.length("word")
+    cuts = words.select("kind", "word", F.explode(keys_within(F.col("word"), F.when(length <= 4, 0).when(length <= 6, 1).otherwise(2))).alias("k"))
+    met = cuts.withColumnRenamed("word", "a").join(cuts.withColumnRenamed("word", "b"), ["kind", "k"]).where("a < b").select("kind", "a", "b")
+    pairs = pairs.unionByName(met).distinct()
     n = F.greatest(F.length("a"), F.length("b"))
     return pairs.where(F.abs(F.length("a") - F.length("b")) <= 2).withColumn("edits", edits(F.col("a"), F.col("b"))).where(F.col("edits") <= F.when(n <= 4, 0).when(n <= 6, 1).otherwise(2))
 

@@ -177,6 +177,21 @@ def test_propagation_settles(spark):
         entity.propagate(odds, rounds=3)
 
 
+def test_alike_words_are_all_found(spark):
+    """Many words of a kind, against all pairs; those of another kind are not met."""
+    rnd = random.Random(7)
+    words = {"".join(rnd.choice("аоктрмин") for _ in range(rnd.randrange(5, 11))) for _ in range(500)}
+    for w in sorted(words)[::5]:
+        i, j = rnd.randrange(len(w)), rnd.randrange(len(w))
+        v = w[:i] + rnd.choice("лес") + w[i + 1 :]
+        words.add(v[:j] + v[j + 1 :] if len(w) > 6 else v)
+    words = sorted(words)
+    df = spark.createDataFrame([("k", w) for w in words] + [("other", words[0])], "kind string, word string")
+    got = {tuple(r) for r in listings.neighbours(df).select("kind", "a", "b", "edits").collect()}
+    want = {("k", a, b, d) for n, a in enumerate(words) for b in words[n + 1 :] if (d := forms.distance(a, b, 2)) <= (0 if (m := max(len(a), len(b))) <= 4 else 1 if m <= 6 else 2)}
+    assert got == want
+
+
 def test_listings_are_grouped(spark):
     rows = [
         (1, "Кофе растворимый ВЕРХОПОЛЬЕ Мемесока 150 г ХИТ!", None, 450.0), (2, "акция кофе раств. мемесокка", "0,15 кг", 430.0), (3, "растворимый кофе Memesoka верхополье", "150г", 470.0),
