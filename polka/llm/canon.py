@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from polka.llm.forms import fold, one_script, retyped, to_cyrillic, to_latin
-from polka.llm.fuzzyjoin import edits, similar_words
+from polka.llm.fuzzyjoin import edits, keys_within, similar_words
 from polka.session import cut
 
 ACCEPT = 0.7
@@ -118,13 +118,20 @@ def map_values(values: DataFrame, entries: DataFrame, value: str = "brand", entr
     n_words = F.size(F.split("text", " "))
     stray = F.greatest(n_words - F.col("k"), F.lit(0)) * F.log1p(n_entries)
     score = score.withColumn("score", F.when(F.col("one"), F.col("got")/F.col("seen")).otherwise(F.col("got") / (F.greatest("entry_weight", "seen") + stray)))
-    # values that break off: entries that begin with them, up to an edit where a sign says so
-    stump = read.where("(how = 'cut' and length(text) >= 3) or how = 'head'").select("value", "how", "text", F.substring("text", 1, 3).alias("k"))
-    starts = whole.select("entry_id", F.col("word").alias("whole"), F.substring("word", 1, 3).alias("k"))
-    cuts = stump.join(starts, "k").where(F.length("text") < F.length("whole"))
-    cuts = cuts.withColumn("e", edits(F.col("text"), F.expr("substring(whole, 1, length(text))")))
+    # values that break off: entries that begin with them, up to an edit where a sign says so;
+    # they meet the beginnings of nearby length on equal deletions
     n_cut = F.length("text")
-    cuts = cuts.where(F.col("e") <= F.when((n_cut <= 5) | (F.col("how") == "head"), 0).when(n_cut <= 8, 1).otherwise(2))
+    few = F.when((n_cut <= 5) | (F.col("how") == "head"), 0).when(n_cut <= 8, 1).otherwise(2)
+    stump = read.where("how in ('cut', 'head')").select("value", "how", "text", few.alias("allowed"))
+    stump = stump.withColumn("k", F.explode(keys_within(F.col("text"), F.col("allowed"))))
+    starts = whole.where("length(word) > 1").select("entry_id", F.col("word").alias("whole"), F.explode(F.expr("transform(sequence(1, length(word) - 1), n -> substring(word, 1, n))")).alias("start")).distinct()
+    n_start = F.length("start")
+    # a value may be longer than the beginning by its edits: 6 letters may have one, 9 two
+    starts = starts.withColumn("k", F.explode(keys_within(F.col("start"), F.when(n_start <= 4, 0).when(n_start <= 6, 1).otherwise(2))))
+    cuts = stump.join(starts, "k").select("value", "text", "allowed", "entry_id", "start").distinct()
+    cuts = cuts.where(F.abs(n_cut - n_start) <= F.col("allowed")).withColumn("e", edits(F.col("text"), F.col("start"))).where("e <= allowed")
+    # of one or two letters only those that a single entry begins with say which is meant
+    cuts = cuts.withColumn("meant", F.size(F.collect_set("entry_id").over(Window.partitionBy("value", "text")))).where("length(text) >= 3 or meant = 1")
     cuts = cuts.select("value", "entry_id", (0.9 - 0.1 * F.col("e") + 0.001 * n_cut).alias("score"))
     # an initial for the first word: the other words in full
     initial = read.where("how = 'ini'").select("value", F.substring("text", 1, 1).alias("i"), F.expr("substring(text, 3)").alias("rest"))

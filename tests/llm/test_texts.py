@@ -107,6 +107,14 @@ def test_brands(spark):
     assert canon.canonical_brands(values.limit(0), entries).count() == 0
 
 
+def test_broken_off_values_with_edits_at_the_beginning(spark):
+    names = ["Три Осинки", "Верхополье", "Лугодарье", "Горбушкин Двор", "Городец", "Ирбис"]
+    want = {"Ти Осин.": 1, "Тир Осин.": 1, "Три Осин…": 1, "Врехопол.": 2, "Ерхополь...": 2, "Кугодар.": 3, "Ир.": 6, "И.": 6, "Го.": 0, "Ти Ос.": 0, "Зз.": 0}
+    values = spark.createDataFrame([(v,) for v in want], "brand string")
+    entries = spark.createDataFrame(list(enumerate(names, 1)), "brand_id int, brand_name string")
+    assert {r["value"]: r["entry_id"] for r in canon.map_values(values, entries).collect()} == want
+
+
 # ---- problems 1 and 6
 
 ITEMS = [
