@@ -268,6 +268,23 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0), goals)[0].count() == 0 and mixing.mix(docs, goals.limit(0))[0].count() == 0
 
 
+def test_copies_of_a_scarce_source_are_taken(spark):
+    """A third of all documents are copies of one text, in the source that limits the mix."""
+    rows = [(i, f"слово {i} и ещё слова", "a") for i in range(200)] + [(1000 + i, "one text with words", "b") for i in range(100)] + [(2000 + i, f"text {i} with words", "b") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    goals = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    taken, shares = mixing.mix(docs, goals)
+    t = {r["doc_id"]: r for r in taken.collect()}
+    assert len(t) == len(rows) and max(r["times"] for r in t.values() if r["source"] == "b") == 2
+    most = 2 * sum(r["tokens"] for r in t.values() if r["source"] == "b")
+    s = {r["source"]: r for r in shares.collect()}
+    assert s["b"]["tokens"] == pytest.approx(most, rel=0.01) and s["a"]["tokens"] == pytest.approx(most, rel=0.01)
+    assert sum(t[1000 + i]["times"] > 0 for i in range(100)) >= 99
+    # where little is wanted, different texts come before copies
+    few = {r["doc_id"]: r["times"] for r in mixing.mix(docs, goals, total_tokens=60)[0].collect()}
+    assert not any(few[1000 + i] for i in range(1, 100)) and max(few.values()) == 1
+
+
 # ---- problem 10
 
 def test_quality_on_examples(spark):
