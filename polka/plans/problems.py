@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from polka.operators import feeds, units
 from polka.session import cut, table
@@ -36,7 +37,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     df = feeds.unified_table(table(spark, d, "feed_files"), table(spark, d, "feed_lines"))
-    return df.drop("other")
+    return df.withColumn("other", F.to_json("other"))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_units, p4_found, p4_rejected, p4_loaded, p5_found, p5_unified)}

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
 from polka.operators import feeds, units
+from polka.plans import problems
 
 TAGS = "tag_id bigint, store_id int, capture_source string, captured_at timestamp, shelf_ref string, product_name string, brand string, weight_volume string, regular_price double, promo_price double, unit string, notes string, dim string"
 
@@ -89,6 +91,14 @@ def test_schema_changes_and_one_table(spark):
     assert feeds.schema_changes(feeds.schema_versions(files.limit(0), raw)).count() == 0
 
 
+def test_unknown_fields_stay_in_the_query(spark, tmp_path):
+    files, raw = feed(spark, "Код товара;Наименование товара;Цена продажи;Полка", "1;Кефир;10,50;A7")
+    files.write.parquet(f"{tmp_path}/feed_files.parquet")
+    raw.write.parquet(f"{tmp_path}/feed_lines.parquet")
+    r = problems.p5_unified(spark, str(tmp_path)).first()
+    assert r["sku"] == "1" and list(json.loads(r["other"]).values()) == ["A7"]
+
+
 def test_value_kinds(spark):
     df = spark.createDataFrame([("12",), ("1 200",), ("12,5",), ("01.02.2025",), ("2025-01-02",), ("20%",), ("нет",), (None,)], "v string")
     assert [r["k"] for r in df.select(feeds.value_kind(F.col("v")).alias("k")).collect()] == ["whole", "whole", "decimal", "date", "date", "text", None, None]
