@@ -90,7 +90,9 @@ class Parser:
         self.exact = {s.lstrip("=") for s in stems} | {fold(w).strip(".!") for w in other}
         self.prefixes = tuple(s for s in stems if s[0] != "=" and len(s) >= 4)
         self.script = lru_cache(40_000)(self._script)
-        self.stems_of = lru_cache(40_000)(lambda w: frozenset(s for s in self.kind_stems if _starts(w, s)))
+        self.stem_sizes = sorted({len(s) for s in self.kind_stems if s[0] != "="})
+        self.stem_set = frozenset(self.kind_stems)
+        self.stems_of = lru_cache(40_000)(lambda w: self.stem_set & {"=" + w, *(w[:k] for k in self.stem_sizes)})
         self.is_name = lru_cache(40_000)(self._is_name)
         self.contents = lru_cache(20_000)(contents)
         self.flavour_of = lru_cache(40_000)(self._flavour_of)
