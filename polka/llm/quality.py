@@ -5,11 +5,9 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,21 +34,24 @@ _BULLET = re.compile(r"^\s*(?:[-–—•*·▪+]|\d{1,3}[.)]|\[[ xXхХ]?\]|\(\
 _QUOTED = re.compile(r"[«\"“][^»\"”]{0,120}[»\"”]")
 _TICK = re.compile(r"(?:\s*:\s*(?:да|нет|yes|no)|\s*\(\d+\))\s*[.;,]?\s*$", re.I)
 _ODD = re.compile("[─-■\u0080-\u009f­�À-ÿЂ-Џђ-џҐґ]")
+_SEPARATOR = re.compile(r"\d+(?:[.,]\d+)*|[;|\t,]")
 _HARSH = re.compile("[бвгджзйклмнпрстфхцчшщъьbcdfghjklmnpqrstvwxz]{5}", re.I)
 _LOOKS = str.maketrans("aeopcyxkmtbhAEOPCYXKMTBH", "аеорсухкмтвнАЕОРСУХКМТВН")
 
 
-def _words(text: str) -> list[str]:
-    out = []
-    for w in _WORD.findall(text):
-        if re.search("[а-яё]", w, re.I) and re.search("[a-z]", w, re.I):
-            w = w.translate(_LOOKS)
-        out.append(w.lower())
-    return out
+@lru_cache(100_000)
+def _word(w: str) -> tuple[int, bool, bool, bool, bool]:
+    """(letters, common, strong, mixed, harsh) of a word, look-alike letters of mixed words brought into one script."""
+    cyr, lat = re.search("[а-яё]", w, re.I), re.search("[a-z]", w, re.I)
+    low = (w.translate(_LOOKS) if cyr and lat else w).lower()
+    plain = low if low in COMMON else low.translate(_LOOKS).lower()
+    common = plain in COMMON
+    mixed = bool(re.search("[а-яё]", low) and re.search("[a-z]", low))
+    return len(w), common, common and low not in WEAK, mixed, bool(_HARSH.search(low))
 
 
-def _is_common(w: str) -> bool:
-    return w in COMMON or w.translate(_LOOKS).lower() in COMMON
+def _words(text: str) -> list[tuple]:
+    return [_word(w) for w in _WORD.findall(text)]
 
 
 def line_is_sentence(line: str) -> float:
@@ -60,21 +61,20 @@ def line_is_sentence(line: str) -> float:
     words = _words(body)
     if not words:
         return 0.0
-    letters = sum(map(len, words))
-    solid = len(re.sub(r"\s", "", body))
+    letters = sum(w[0] for w in words)
+    solid = len("".join(body.split()))
     if letters < 0.6 * solid or len(_ODD.findall(body)) > 0.1 * letters:
         return 0.0
-    if max(map(len, words)) > 35 or letters / len(words) > 14:
+    if max(w[0] for w in words) > 35 or letters / len(words) > 14:
         return 0.0
-    mixed = sum(bool(re.search("[а-яё]", w) and re.search("[a-z]", w)) for w in words)
-    harsh = sum(bool(_HARSH.search(w)) for w in words)
-    if (mixed + harsh) > 0.15 * len(words) and mixed + harsh > 1:
+    odd = sum(w[3] + w[4] for w in words)
+    if odd > 0.15 * len(words) and odd > 1:
         return 0.0
-    strong = sum(_is_common(w) and w not in WEAK for w in words)
-    weak = sum(_is_common(w) and w in WEAK for w in words)
+    strong = sum(w[2] for w in words)
+    weak = sum(w[1] for w in words) - strong
     if not strong and len(words) <= 5:
         return 0.0
-    separators = len(re.findall(r"[;|\t]|,|\d", body))
+    separators = len(_SEPARATOR.findall(body))
     score = (strong + 0.4 * weak) / len(words) - 0.25 * min(1.0, separators / len(words))
     return max(0.0, min(1.0, score * 6))
 
@@ -85,20 +85,20 @@ def statistics(text: str) -> dict[str, float]:
     t = text or ""
     lines = [x for x in re.split(r"\r\n|\r|\n", t) if x.strip()]
     words = _words(t)
-    solid = re.sub(r"\s", "", t)
+    solid = "".join(t.split())
     n = max(1, len(solid))
     out = dict.fromkeys(NAMES, 0.0)
     if not solid:
         return out
-    letters = sum(map(len, words))
+    letters = sum(w[0] for w in words)
     score = [line_is_sentence(x) for x in lines]
-    size = [len(re.sub(r"\s", "", x)) for x in lines]
+    size = [len("".join(x.split())) for x in lines]
     bullets = [bool(_BULLET.match(x)) for x in lines]
     got = 0.0
     for i in range(len(lines)):
         s = score[i]
-        # a wrapped line is judged with its neighbours; list items and single lines are not
-        if not bullets[i] and len(lines) > 1:
+        # a wrapped line is judged with its neighbours; list items, single lines and rows of separated values are not
+        if not bullets[i] and len(lines) > 1 and (s > 0.0 or len(_SEPARATOR.findall(lines[i])) * 20 < size[i]):
             near = [score[j] for j in (i - 1, i + 1) if 0 <= j < len(lines) and not bullets[j] and size[j] > 17 and size[i] > 8]
             if near:
                 s = max(s, 0.5 * s + 0.5 * sum(near) / len(near))
@@ -108,7 +108,7 @@ def statistics(text: str) -> dict[str, float]:
     out["symbol_ratio"] = sum(not ch.isalnum() for ch in solid) / n
     out["digit_ratio"] = sum(ch.isdigit() for ch in solid) / n
     out["end_ratio"] = sum(bool(re.search(r"[.!?…][\s\"»)]*\W{0,4}$", x)) for x in lines) / len(lines)
-    out["common_ratio"] = sum(_is_common(w) for w in words) / max(1, len(words))
+    out["common_ratio"] = sum(w[1] for w in words) / max(1, len(words))
     out["line_words"] = math.log1p(len(words) / len(lines))
     out["odd_ratio"] = len(_ODD.findall(t)) / n
     out["sentence_ratio"] = got / sum(size)
@@ -141,55 +141,118 @@ EXAMPLES = [
     ("table", "2025-09-14 05:14:31 WARN ocr retry=1 code=timeout\n2025-05-03 11:33:02 WARN ocr retry=4 code=open"),
     ("junk", "=====$$$!!!%%%$$$$$$???=====*** ***!!!-----***???******  -----=====!!!"),
     ("junk", "DTfpZEeoswydzq7Rw5K7bmvax5rUBrh9UhfMjkAEu+2daTfToeTfXohqsITYq6mA2VxY7nGsW9ULpEvTCkdh59nw1w=="),
+    ("junk", "ок"),
     ("junk", "Ïîêà øëà èíâåíòàðèçàöèÿ, ÷àñòü òîâàðà ïðîñòî íàêðûëè ïë¸íêîé."),
 ]
 
 
-def classify_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", components: int = 8, iterations: int = 30, seed: int = 3) -> DataFrame:
+def _log_densities(x, model):
+    """Log of weight times density of each component (columns) at each row of ``x``."""
+    import numpy as np
+
+    weights, means, covariances = model
+    out = np.empty((len(x), len(weights)))
+    for j in range(len(weights)):
+        root = np.linalg.cholesky(covariances[j])
+        z = np.linalg.solve(root, (x - means[j]).T)
+        out[:, j] = np.log(weights[j]) - 0.5 * (z * z).sum(0) - np.log(np.diag(root)).sum() - 0.5 * x.shape[1] * math.log(2 * math.pi)
+    return out
+
+
+def _posteriors(x, model):
+    """(posteriors, log likelihoods) of the rows of ``x``."""
+    import numpy as np
+
+    logs = _log_densities(x, model)
+    top = logs.max(1, keepdims=True)
+    total = top[:, 0] + np.log(np.exp(logs - top).sum(1))
+    return np.exp(logs - total[:, None]), total
+
+
+def _moments(x, model):
+    """Sufficient statistics of an expectation step: rows, log likelihood, and per component the posterior-weighted sums of 1, x and x x'."""
+    import numpy as np
+
+    p, total = _posteriors(x, model)
+    second = np.einsum("ij,ia,ib->jab", p, x, x, optimize=True)
+    return np.concatenate([[len(x), total.sum()], p.sum(0), (p.T @ x).ravel(), second.ravel()])
+
+
+def fit_mixture(stats: DataFrame, columns: list[str], starts, ridge: float = 0.01, tolerance: float = 1e-3, rounds: int = 500):
+    """``(model, mean, deviation)`` of a Gaussian mixture of full covariances by expectation-maximization.
+
+    All rows of ``stats`` and the rows of ``starts`` (an array of inspected examples, at each of which one component begins) are
+    standardized and used in every round. A round is one job: tasks sum the moments of their rows, the sums are added by
+    position, and only one number for each moment comes to the driver. It ends when the mean log likelihood moves by no more
+    than ``tolerance``; ``rounds`` without that raise ``RuntimeError``. ``ridge`` is added to the variances.
+    """
+    import numpy as np
+
+    d, k = len(columns), len(starts)
+    sums = stats.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0.0)) for c in columns], *[F.coalesce(F.sum(F.col(c) * F.col(c)), F.lit(0.0)) for c in columns]).first()
+    n = sums[0] + k
+    mean = (np.array(sums[1 : 1 + d]) + starts.sum(0)) / n
+    deviation = np.sqrt(np.maximum((np.array(sums[1 + d :]) + (starts * starts).sum(0)) / n - mean * mean, 0.0))
+    deviation[deviation < 1e-9] = 1.0
+    own = (starts - mean) / deviation
+    model = (np.full(k, 1.0 / k), own, np.array([0.5 * np.eye(d)] * k))
+    before = None
+    for _ in range(rounds):
+        def sum_up(it: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
+            total = None
+            for df in it:
+                part = _moments((df.to_numpy() - mean) / deviation, model)
+                total = part if total is None else total + part
+            if total is not None:
+                yield pd.DataFrame({"i": range(len(total)), "v": total})
+
+        parts = stats.select(*columns).mapInPandas(sum_up, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        total = _moments(own, model)
+        for r in parts:
+            total[r["i"]] += r["v"]
+        likelihood = total[1] / total[0]
+        if before is not None and abs(likelihood - before) <= tolerance:
+            return model, mean, deviation
+        before = likelihood
+        mass = total[2 : 2 + k] + 1e-9
+        means = total[2 + k : 2 + k + k * d].reshape(k, d) / mass[:, None]
+        second = total[2 + k + k * d :].reshape(k, d, d) / mass[:, None, None]
+        covariances = second - means[:, :, None] * means[:, None, :]
+        covariances = (covariances + covariances.transpose(0, 2, 1)) / 2
+        low = np.linalg.eigvalsh(covariances)[:, 0]  # rounding may leave a flat component slightly negative
+        covariances += (ridge + np.maximum(0.0, -low))[:, None, None] * np.eye(d)
+        model = (np.maximum(mass / mass.sum(), 1e-12), means, covariances)
+    raise RuntimeError(f"the likelihood still moves by more than {tolerance} after {rounds} rounds")
+
+
+def classify_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", examples: list[tuple[str, str]] = EXAMPLES) -> DataFrame:
     """``doc_id``, the statistics, ``kind`` and ``prose_probability`` of every document that is not blank.
 
     The mixture is fitted by expectation-maximization on the standardized statistics of all
-    documents and the inspected examples; a component has the kind of the examples it
-    takes, weighted by posterior, else of the nearest component that has one. ``prose_probability`` is 0
-    for what lies three deviations below the sentence ratio of every prose component. Fewer than 20
-    documents are too few for a mixture: ``kind`` is then by ``sentence_ratio`` alone.
+    documents and the inspected ``examples``, one component beginning at each; a component has the kind of the examples it
+    takes, weighted by posterior, else of the nearest component that has one. ``kind`` is the one with the largest posterior,
+    ``prose_probability`` the posterior of all prose components.
     """
+    import numpy as np
+
     stats = cut(text_statistics(docs, text, key).where("not blank").drop("blank"), "statistics")
-    spark = docs.sparkSession
-    if stats.limit(20).count() < 20:
-        return stats.withColumn("kind", F.when(F.col("sentence_ratio") >= 0.5, "prose").otherwise("list")).withColumn("prose_probability", F.least(F.lit(1.0), F.col("sentence_ratio")))
-    example = spark.createDataFrame([(-1 - i, k, *[float(statistics(t)[n]) for n in NAMES]) for i, (k, t) in enumerate(EXAMPLES)], ["doc_id", "example_kind", *NAMES])
-    assemble = VectorAssembler(inputCols=NAMES, outputCol="raw")
-    both = assemble.transform(stats.unionByName(example.drop("example_kind")))
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(both)
-    # equal texts are common: a little noise by document keeps every component's covariance regular
-    noise = lambda x, i: x + 0.02 * (F.pmod(F.xxhash64("doc_id", i), F.lit(1000)) / 1000.0 - 0.5)
-    rows = cut(scaler.transform(both).select("doc_id", F.transform(vector_to_array("features"), noise).alias("x")), "features")
-    rows = rows.select("doc_id", array_to_vector("x").alias("features"))
-    mixture = GaussianMixture(k=components, maxIter=iterations, seed=seed, tol=1e-3).fit(rows)
-    scored = mixture.transform(rows).withColumn("p", vector_to_array("probability"))
-    seen = scored.where("doc_id < 0").join(F.broadcast(example.select("doc_id", "example_kind")), "doc_id").select("example_kind", "p").collect()  # the examples
-    votes = [dict.fromkeys(KINDS, 0.0) for _ in range(components)]
-    for r in seen:
-        for c, p in enumerate(r["p"]):
-            votes[c][r["example_kind"]] += p
-    means = [g.mean.toArray() for g in mixture.gaussians]
-    named = {c: max(KINDS, key=lambda k: votes[c][k]) for c in range(components) if sum(votes[c].values()) > 0.05}
-    kind_of = [named.get(c) or named[min(named, key=lambda m: float(((means[c] - means[m]) ** 2).sum()))] for c in range(components)]
-    share = {k: sum((F.col("p")[c] for c in range(components) if kind_of[c] == k), F.lit(0.0)) for k in KINDS}
-    top = F.greatest(*share.values())
-    kind = F.coalesce(*[F.when(share[k] == top, k) for k in KINDS])
-    # a document far below the sentences of every prose component belongs to none of them, whichever is nearest
-    at = NAMES.index("sentence_ratio")
-    floors = [float(means[c][at] - 3.0 * max(0.1, math.sqrt(mixture.gaussians[c].cov.toArray()[at][at]))) for c in range(components) if kind_of[c] == "prose"]
-    typical = vector_to_array("features")[at] >= min(floors, default=0.0)
-    return stats.join(scored.select("doc_id", kind.alias("kind"), F.when(typical, share["prose"]).otherwise(0.0).alias("prose_probability")), "doc_id")
-
-
-def not_prose(classified: DataFrame, doubt: float = 0.9999999999, most: float = 0.5) -> DataFrame:
-    """Documents that are a list, a table or junk.
-
-    The mixture's candidates are all that it does not call prose for certain; of these the ones
-    count that have less than ``most`` of their characters in sentences.
-    """
-    return classified.where((F.col("kind") != "prose") | (F.col("prose_probability") < doubt)).where(F.col("sentence_ratio") < most).select("doc_id")
+    seen = pd.DataFrame([statistics(t) for _, t in examples], columns=NAMES).to_numpy()
+    model, mean, deviation = fit_mixture(stats, NAMES, seen)
+    taken, _ = _posteriors((seen - mean) / deviation, model)
+    votes = np.array([[taken[[i for i, (x, _) in enumerate(examples) if x == kind], c].sum() for kind in KINDS] for c in range(len(seen))])
+    named = [c for c in range(len(seen)) if votes[c].sum() > 0.05]
+    near = [c if c in named else min(named, key=lambda m: float(((model[1][c] - model[1][m]) ** 2).sum())) for c in range(len(seen))]
+    kind_of = np.array([votes[c].argmax() for c in near])
+
+    def judge(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in it:
+            p, _ = _posteriors((df[NAMES].to_numpy() - mean) / deviation, model)
+            share = np.stack([p[:, kind_of == k].sum(1) for k in range(len(KINDS))], 1)
+            yield df.assign(kind=[KINDS[k] for k in share.argmax(1)], prose_probability=share[:, 0])
+
+    return stats.mapInPandas(judge, f"doc_id {dict(stats.dtypes)['doc_id']}, {', '.join(f'{n} double' for n in NAMES)}, kind string, prose_probability double")
+
+
+def not_prose(classified: DataFrame, least: float = 0.5) -> DataFrame:
+    """Documents that are a list, a table or junk: the mixture's posterior of prose is under ``least``."""
+    return classified.where(F.col("prose_probability") < least).select("doc_id")

@@ -375,7 +375,28 @@ def test_quality_on_examples(spark):
     found = {r["doc_id"] for r in quality.not_prose(c).collect()}
     assert found == {i for i, x in docs if x in other} | {9003, 9004, 9005}
     assert c.count() == len(docs) + 3
-    assert quality.classify_documents(df.where("doc_id >= 9000 and doc_id <> 9004")).count() == 2 and quality.classify_documents(df.limit(0)).count() == 0
+    few = quality.classify_documents(df.where("doc_id >= 9000 and doc_id <> 9004"))
+    assert {r["doc_id"]: r["kind"] == "prose" for r in few.collect()} == {9003: False, 9005: False}
+    assert quality.classify_documents(df.limit(0)).count() == 0
+
+
+def test_mixture_against_plain_rounds(spark):
+    """The moments summed by tasks, against a loop over all rows; two far heaps are told apart."""
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    x = np.concatenate([rnd.normal(0, 1, (300, 2)), rnd.normal(8, 1, (100, 2)) * [1, 2]])
+    starts = np.array([[0.0, 1.0], [7.0, 15.0]])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double").repartition(3)
+    (weights, means, covariances), mean, deviation = quality.fit_mixture(df, ["a", "b"], starts, tolerance=1e-6)
+    every = np.concatenate([x, starts])
+    assert np.allclose(mean, every.mean(0)) and np.allclose(deviation, every.std(0))
+    z, heaps = (every - mean) / deviation, np.concatenate([every[:, 0] < 4])
+    assert weights == pytest.approx([heaps.mean(), 1 - heaps.mean()], abs=1e-3)
+    for c, mine in enumerate((heaps, ~heaps)):
+        assert np.allclose(means[c], z[mine].mean(0), atol=1e-2) and np.allclose(covariances[c], np.cov(z[mine].T, bias=True) + 0.01 * np.eye(2), atol=1e-2)
+    with pytest.raises(RuntimeError, match="likelihood"):
+        quality.fit_mixture(df, ["a", "b"], starts, tolerance=0.0, rounds=2)
 
 
 def test_statistics():
