@@ -6,6 +6,8 @@ Every pattern starts with ``(?U)`` since Java's classes are ASCII otherwise.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -116,30 +118,50 @@ def attributes(text: Column) -> Column:
     )
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` worked out a single time however often ``f`` uses it: it is bound to a lambda's variable."""
+    return F.get(F.transform(F.array(x), lambda v: f(v)), F.lit(0))
+
+
 def _whole_units(clean: Column) -> Column:
     """Litres to ``мл`` and kilograms to ``г``, then units are glued to their numbers.
 
     The text is cut at its large measures; the pieces between are kept verbatim.
     """
-    for unit, small in ((r"(?:л|l)", "мл"), (r"(?:кг|kg)", "г")):
+    def smaller(clean: Column, *, unit: str, small: str) -> Column:
         pattern = rf"(?U)(\d+(?:\.\d+)?)\s*{unit}\b"
         whole = F.regexp_extract_all(clean, F.lit(pattern), F.lit(0))
         numbers = F.regexp_extract_all(clean, F.lit(pattern), F.lit(1))
         between = F.split(clean, pattern, -1)
         large = F.lit("л" if small == "мл" else "кг")
         done = F.zip_with(whole, numbers, lambda w, x: F.coalesce(F.concat(number_text(measure(x, large), "0"), F.lit(small)), w))
-        clean = F.array_join(F.zip_with(between, F.concat(done, F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        glued = F.array_join(F.zip_with(between, F.concat(done, F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.when(clean.rlike(pattern), glued).otherwise(clean)
+
+    for unit, small in ((r"(?:л|l)", "мл"), (r"(?:кг|kg)", "г")):
+        clean = once(clean, partial(smaller, unit=unit, small=small))
     clean = F.regexp_replace(clean, r"(?U)(\d+(?:\.\d+)?)\s*(?:мл|ml)\b", "$1мл")
     return F.regexp_replace(clean, r"(?U)(\d+(?:\.\d+)?)\s*(?:гр|г|g)\b", "$1г")
 
 
 def normalize_product_text(text: Column) -> Column:
-    """Comparable form of a product name; '' for NULL or blank text."""
-    t = decimal_text(F.coalesce(text, F.lit("")))
-    for pattern, full in ABBREVIATIONS:
-        t = F.regexp_replace(t, rf"(?U)(?<!\w){pattern}(?!\w)", full)
-    for latin in sorted(BRAND_SPELLINGS, key=lambda b: -len(b)):
-        t = F.regexp_replace(t, rf"(?U)(?<!\w){re.escape(latin)}(?!\w)", BRAND_SPELLINGS[latin])
+    """Comparable form of a product name; '' for NULL or blank text.
+
+    The replacements run only on texts that some pattern is in: where none is, none of them changes anything.
+    """
+    def abbreviations(t: Column) -> Column:
+        full = t
+        for pattern, word in ABBREVIATIONS:
+            full = F.regexp_replace(full, rf"(?U)(?<!\w){pattern}(?!\w)", word)
+        return F.when(t.rlike(rf"(?U)(?<!\w)(?:{'|'.join(p for p, _ in ABBREVIATIONS)})(?!\w)"), full).otherwise(t)
+
+    def brands(t: Column) -> Column:
+        full = t
+        for latin in sorted(BRAND_SPELLINGS, key=lambda b: -len(b)):
+            full = F.regexp_replace(full, rf"(?U)(?<!\w){re.escape(latin)}(?!\w)", BRAND_SPELLINGS[latin])
+        return F.when(t.rlike("[a-z]{4}"), full).otherwise(t)
+
+    t = once(once(decimal_text(F.coalesce(text, F.lit(""))), abbreviations), brands)
     t = _whole_units(t)
     t = F.regexp_replace(t, r"""[,/\\()\[\]{}"'«»№#;:_+—–-]""", " ")
     t = F.regexp_replace(t, r"(?U)(\d+(?:\.\d+)?)\s*%", "$1%")

@@ -72,7 +72,16 @@ FEED = """feed AS (SELECT row_id AS row_idx, nullif(trim(sku), '') AS sku, nulli
   CASE WHEN purchase_price > 0 THEN purchase_price END AS purchase_price, CASE WHEN sale_price > 0 THEN sale_price END AS sale_price,
   CASE WHEN promo_price > 0 THEN promo_price END AS promo_price,
   coalesce(purchase_price >= 0, true) AND coalesce(sale_price >= 0, true) AND coalesce(promo_price >= 0, true) AS price_ok FROM catalog_items
-  WHERE purchase_price IS NOT NULL OR sale_price IS NOT NULL OR promo_price IS NOT NULL)"""
+  WHERE purchase_price IS NOT NULL OR sale_price IS NOT NULL OR promo_price IS NOT NULL
+  UNION ALL SELECT row_id + 10000000, NULL, 'Без кода', 10.5, 1200, NULL, true FROM catalog_items WHERE row_id % 10 = 3
+  UNION ALL SELECT row_id + 10000000, 'bad' || row_id, 'Плохая цена', NULL, 12, NULL, false FROM catalog_items WHERE row_id % 10 = 4
+  UNION ALL SELECT row_id + 10000000, 'zero' || row_id, 'Ноль', NULL, NULL, NULL, true FROM catalog_items WHERE row_id % 10 = 5)"""
+GOODS = """kinds(k, opening, brand) AS (VALUES (0, 'молоко ультрапастеризованное', 'данон'), (1, 'масло сливочное', 'хохланд'), (2, 'сок стекло', 'добрый'), (3, 'чай пакет', 'гринфилд'),
+  (4, 'вода пэт бутылка', 'президент'), (5, 'мука фасованный', 'макфа'), (6, 'сыр высший сорт', 'альпен гольд'), (7, 'колбаса варено копченая', 'милка')),
+goods AS (SELECT p_partkey AS row_idx, p_type, k, p_size AS s, opening || ' ' || lower(p_name) || ' ' || brand || ' ' || CASE k WHEN 0 THEN (s // 2) || '.' || (s % 2 * 5) || '% ' || (s * 20) || 'мл' WHEN 1 THEN '82.5% ' || (s * 10) || 'г'
+    WHEN 2 THEN s || ' x 200мл' WHEN 3 THEN s || ' шт' WHEN 4 THEN (s * 1000 + 500) || 'мл' WHEN 5 THEN (s * 1000) || 'г' WHEN 6 THEN '100% ' || (s * 10) || 'г' ELSE (1000 + s) || 'г' END AS norm,
+  CASE k WHEN 0 THEN s / 2.0 WHEN 1 THEN 82.5 END::double AS fat, CASE k WHEN 0 THEN s * 20 WHEN 2 THEN s * 200 WHEN 4 THEN s * 1000 + 500 END::integer AS volume_ml,
+  CASE k WHEN 1 THEN s * 10 WHEN 5 THEN s * 1000 WHEN 6 THEN s * 10 WHEN 7 THEN 1000 + s END::integer AS weight_g, CASE WHEN k IN (2, 3) THEN s END::integer AS count FROM part JOIN kinds ON k = p_partkey % 8)"""
 NORM = CATALOG + """, normed AS (SELECT *, lower(p_name) || ' ' || lower(replace(p_brand, '#', ' ')) || ' ' || lower(p_type) || ' ' || grams || 'г' AS norm FROM catalog)"""
 #: CRC-32 over the bytes of a text, bit by bit.
 CRC = """list_reduce([4294967295::ubigint] || list_transform(range(1, length(hex(encode({0})))::bigint, 2), lambda i: ('0x' || substr(hex(encode({0})), i, 2))::ubigint),
@@ -108,7 +117,7 @@ SQL = {
     "report_summary_unpivot": with_metrics(f", s AS ({SUMMARY}) SELECT label, value FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS label, {c}::double{' / 100' if c in ('match_rate', 'avg_price_index', 'basket_price_index') else ''} AS value FROM s" for c in FIGURES if c != "failed_recognitions") + ")"),
     "bot_report": with_metrics(f", s AS ({SUMMARY}) SELECT 'items ' || total_items || '; matched ' || matched_items || '; average index ' || coalesce(printf('%.1f', avg_price_index) || '%', 'no data') || '; basket index ' || coalesce(printf('%.1f', basket_price_index) || '%', 'no data') || '; dumping ' || dumping_alerts_count AS report FROM s"),
     "catalog_clean": f"WITH {FEED} SELECT * FROM feed",
-    "catalog_constraints": f"""WITH {FEED}, d AS (SELECT sku FROM feed GROUP BY sku HAVING count(*) > 1)
+    "catalog_constraints": f"""WITH {FEED}, d AS (SELECT sku FROM feed WHERE sku IS NOT NULL GROUP BY sku HAVING count(*) > 1)
       SELECT count(*) AS rows, count(*) FILTER (WHERE sku IS NULL OR name IS NULL) AS no_identity, count(*) FILTER (WHERE NOT price_ok) AS bad_price,
       count(*) FILTER (WHERE sale_price IS NULL AND promo_price IS NULL) AS no_price, (SELECT count(*) FROM d) AS doubled,
       (SELECT string_agg(sku, ',' ORDER BY sku) FROM (SELECT sku FROM d ORDER BY sku LIMIT 5)) AS doubled_skus FROM feed""",
@@ -119,15 +128,26 @@ SQL = {
     "sku_normalize": "SELECT row_id, nullif(trim(sku), '') AS sku FROM catalog_items",
     "header_normalize": "WITH lines AS (SELECT DISTINCT file_id, raw_text FROM feed_lines WHERE line_no = 1), cells AS (SELECT file_id, unnest(string_split_regex(raw_text, '[;|,\\t]')) AS cell, generate_subscripts(string_split_regex(raw_text, '[;|,\\t]'), 1) - 1 AS pos FROM lines) SELECT file_id, pos::integer AS pos, trim(regexp_replace(regexp_replace(replace(lower(trim(replace(cell, chr(65279), ''))), 'ё', 'е'), '\\.[0-9]+$', ''), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS header FROM cells",
     "source_values": LINES + ", cells AS (SELECT file_id, unnest(string_split(raw_text, ';')) AS cell FROM lines) SELECT file_id, count(*) FILTER (WHERE lower(trim(cell, ' ')) NOT IN ('', '-', '—', 'нет', 'n/a', 'na', 'nan', 'none')) AS filled, count(*) AS cells FROM cells GROUP BY file_id",
-    "attrs_extract": f"WITH {CATALOG} SELECT row_idx, NULL::double AS fat, NULL::integer AS volume_ml, grams::integer AS weight_g, NULL::integer AS count FROM catalog",
-    "text_normalize": f"WITH {NORM} SELECT row_idx, norm FROM normed",
-    "token_sets": f"WITH {NORM}, t AS (SELECT DISTINCT row_idx, unnest(string_split(norm, ' ')) AS t FROM normed) SELECT row_idx, coalesce(string_agg(t, ' ' ORDER BY t) FILTER (WHERE length(t) >= 3), '') AS tokens FROM t GROUP BY row_idx",
+    "sku_valid": "SELECT row_id, row_id % 8 >= 6 AS valid FROM catalog_items",
+    "sku_of_number": "SELECT p_partkey, p_partkey || CASE WHEN p_size % 2 = 0 THEN '' ELSE '.5' END AS sku FROM part",
+    "decimal_text": "SELECT p_partkey, 'цена ' || p_size || lpad((p_partkey % 1000)::varchar, 3, '0') || '.' || (p_size % 10) || ' руб, елка' AS text FROM part",
+    "attrs_extract": f"WITH {GOODS} SELECT row_idx, fat, volume_ml, weight_g, count FROM goods",
+    "text_normalize": f"WITH {GOODS} SELECT row_idx, norm FROM goods",
+    "token_sets": f"WITH {GOODS}, t AS (SELECT DISTINCT row_idx, unnest(string_split(norm, ' ')) AS t FROM goods) SELECT row_idx, coalesce(string_agg(t, ' ' ORDER BY t) FILTER (WHERE length(t) >= 3 AND t NOT IN ('товар', 'продукт', 'упаковка', 'фасованный', 'высший', 'сорт', 'шт')), '') AS tokens FROM t GROUP BY row_idx",
+    "token_postings_bounded": f"WITH {NORM}, t AS (SELECT DISTINCT row_idx, unnest(string_split(norm, ' ')) AS t FROM normed), h AS (SELECT t, xor(" + CRC.format("t") + ", 4294967295::ubigint)::bigint AS crc FROM (SELECT DISTINCT t FROM t WHERE length(t) >= 3)), c AS (SELECT row_idx, crc, row_number() OVER (PARTITION BY row_idx ORDER BY crc, t) AS k FROM t JOIN h USING (t)), p AS (SELECT DISTINCT (crc % 8192)::integer AS bucket, row_idx FROM c WHERE k <= 3), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY row_idx) AS k FROM p) SELECT bucket, row_idx FROM r WHERE k <= 5",
+    "candidate_shortlist_parts": f"WITH {NORM}, t AS (SELECT DISTINCT row_idx, unnest(string_split(norm, ' ')) AS t FROM normed), q AS (SELECT DISTINCT p_partkey AS obs_id, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS t FROM part WHERE p_partkey % 20 = 0), h AS (SELECT t, (xor(" + CRC.format("t") + """, 4294967295::ubigint) % 8192)::integer AS bucket FROM (SELECT t FROM t UNION SELECT t FROM q) WHERE length(t) >= 3),
+      p AS (SELECT bucket, row_idx FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY row_idx) AS k FROM (SELECT DISTINCT bucket, row_idx FROM t JOIN h USING (t))) WHERE k <= 2048), n AS (SELECT bucket, count(*) AS n FROM p GROUP BY bucket),
+      a AS (SELECT obs_id, bucket FROM (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY coalesce(n, 0), bucket) AS k FROM (SELECT DISTINCT obs_id, bucket FROM q JOIN h USING (t)) LEFT JOIN n USING (bucket)) WHERE k <= 4),
+      f AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY hits DESC, row_idx) AS k FROM (SELECT obs_id, row_idx, count(*) AS hits FROM a JOIN p USING (bucket) GROUP BY obs_id, row_idx))
+      SELECT obs_id, count(*) AS candidates, max(hits) AS most_hits, sum(row_idx)::bigint AS row_sum FROM f WHERE k <= 50 GROUP BY obs_id""",
     "trigram_sets": f"WITH {CATALOG}, g AS (SELECT DISTINCT row_idx, substr(lower(name), i::integer, 3) AS g FROM catalog, unnest(range(1, length(name) - 1)) AS r(i)) SELECT row_idx, count(*) AS n, string_agg(g, '|' ORDER BY g) AS grams FROM g GROUP BY row_idx",
     "trigram_hash": "SELECT p_brand, xor(" + CRC.format("p_brand") + ", 4294967295::ubigint)::bigint AS crc FROM (SELECT DISTINCT p_brand FROM part)",
     "token_postings": f"WITH {NORM}, t AS (SELECT DISTINCT row_idx, unnest(string_split(norm, ' ')) AS t FROM normed), h AS (SELECT t, (xor(" + CRC.format("t") + ", 4294967295::ubigint) % 8192)::integer AS bucket FROM (SELECT DISTINCT t FROM t WHERE length(t) >= 3)), p AS (SELECT DISTINCT bucket, row_idx FROM t JOIN h USING (t)), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY row_idx) AS k FROM p) SELECT bucket, count(*) AS n, min(row_idx) AS first_row, max(row_idx) AS last_row FROM r WHERE k <= 2048 GROUP BY bucket",
     "ngram_postings": f"WITH {NORM}, g AS (SELECT DISTINCT row_idx, substr(norm, i::integer, 3) AS g FROM normed, unnest(range(1, length(norm) - 1)) AS r(i)), h AS (SELECT g, xor(" + CRC.format("g") + ", 4294967295::ubigint)::bigint AS crc FROM (SELECT DISTINCT g FROM g)), c AS (SELECT row_idx, crc, row_number() OVER (PARTITION BY row_idx ORDER BY crc, g) AS k FROM g JOIN h USING (g)), p AS (SELECT DISTINCT (crc % 8192)::integer AS bucket, row_idx FROM c WHERE k <= 12), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY row_idx) AS k FROM p) SELECT bucket, count(*) AS n, max(row_idx) AS last_row FROM r WHERE k <= 2048 GROUP BY bucket",
     "brand_subset_filter": f"WITH {CATALOG} SELECT row_idx, p_brand FROM catalog WHERE p_brand = 'Brand#17'",
-    "attribute_conflict": f"WITH {CATALOG}, f AS (SELECT p_brand, p_type, arg_min(grams, row_idx) AS first_grams FROM catalog GROUP BY ALL) SELECT row_idx, CASE WHEN abs(grams - first_grams) > 1 THEN 'weight' END AS conflict FROM catalog JOIN f USING (p_brand, p_type)",
+    "attribute_conflict": f"""WITH {GOODS}, f AS (SELECT p_type, min(row_idx) AS row_idx FROM goods GROUP BY p_type), q AS (SELECT goods.* FROM goods JOIN f USING (row_idx))
+      SELECT c.row_idx, CASE WHEN abs(q.fat - c.fat) > 0.05 THEN 'fat' WHEN (q.weight_g IS NOT NULL AND c.volume_ml IS NOT NULL) OR (q.volume_ml IS NOT NULL AND c.weight_g IS NOT NULL) THEN 'dimension'
+        WHEN abs(q.weight_g - c.weight_g) > 1 THEN 'weight' WHEN abs(q.volume_ml - c.volume_ml) > 1 THEN 'volume' WHEN q.count <> c.count THEN 'count' END AS conflict FROM goods c JOIN q ON q.p_type = c.p_type""",
     "fuzzy_ratios": """WITH p AS (SELECT DISTINCT p_name, p_type FROM part), f AS (SELECT p_type, min(p_name) AS first_name FROM p GROUP BY p_type), x AS (SELECT *, list_sort(string_split(p_name, ' ')) AS ta, list_sort(string_split(first_name, ' ')) AS tb FROM p JOIN f USING (p_type)),
       y AS (SELECT *, array_to_string(ta, ' ') AS a, array_to_string(tb, ' ') AS b, list_sort(list_filter(list_distinct(ta), lambda t: NOT list_contains(tb, t))) AS da, list_sort(list_filter(list_distinct(tb), lambda t: NOT list_contains(ta, t))) AS db, list_sort(list_filter(list_distinct(ta), lambda t: list_contains(tb, t))) AS i FROM x),
       z AS (SELECT *, coalesce(array_to_string(da, ' '), '') AS sa, coalesce(array_to_string(db, ' '), '') AS sb, length(coalesce(array_to_string(i, ' '), '')) AS s FROM y),
@@ -148,6 +168,10 @@ SQL = {
     "mock_provider": "SELECT file_id, (list_sum(list_transform(string_split(file_name, ''), lambda c: unicode(c))) % 4)::bigint AS choice FROM feed_files",
     "rate_limit_global": LIMIT.format(source=EVENTS.format(who="'all'"), window="21600000000", most=8) + " SELECT accepted, count(*) AS n FROM r GROUP BY accepted",
     "rate_limit_per_user": LIMIT.format(source=EVENTS.format(who="user_id"), window="86400000000", most=3) + " SELECT event_id, who AS user_id, accepted FROM r",
+    "quota_with_gap": "WITH RECURSIVE e AS (" + EVENTS.format(who="user_id") + """), r AS (SELECT event_id, who, n, t, true AS accepted, 0.0::double AS retry_after, [t] AS acc FROM e WHERE n = 1 UNION ALL
+      SELECT event_id, who, n, t, ok, CASE WHEN ok THEN 0.0 WHEN near THEN greatest(1.0, ceil((1800000000 - (t - kept[-1])) / 1e6)) ELSE greatest(1.0, ceil((kept[1] + 259200000000 - t) / 1e6)) END::double, CASE WHEN ok THEN list_append(kept, t) ELSE kept END
+      FROM (SELECT *, coalesce(t - kept[-1] < 1800000000, false) AS near, NOT coalesce(t - kept[-1] < 1800000000, false) AND len(kept) < 6 AS ok FROM (SELECT e.event_id, e.who, e.n, e.t, list_filter(r.acc, lambda a: a > e.t - 259200000000) AS kept FROM r JOIN e ON e.who = r.who AND e.n = r.n + 1)))
+      SELECT event_id, accepted, retry_after FROM r""",
     "session_ttl": "WITH g AS (SELECT *, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 21600000000)::integer, 1) AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, (sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id))::bigint AS session FROM g) SELECT user_id, session, count(*) AS n, min(event_id) AS first_event FROM s GROUP BY user_id, session",
     "session_budget": "WITH e AS (SELECT event_id, user_id, ts, floor(value)::bigint AS b FROM events), r AS (SELECT *, (row_number() OVER w)::integer AS k, (sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::bigint AS total FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, k AS items_so_far, total AS bytes_so_far, CASE WHEN b IS NULL OR b < 0 THEN 'size' WHEN b > 150 THEN 'item_bytes' WHEN k > 50 THEN 'item_count' WHEN total > 2000 THEN 'total_bytes' END AS problem FROM r",
     "circuit_breaker_runs": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) AS island FROM events) SELECT user_id, epoch_us(min(ts)) AS run_start_us, count(*) AS run_length, count(*) >= 3 AS tripped FROM n WHERE event_type = 'error' GROUP BY user_id, island",

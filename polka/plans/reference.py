@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from polka.functions import numeric, text
 from polka.operators import catalog as cat
 from polka.operators import guardrails, match, payload, pricing, review
-from polka.plans.views import KEY, catalog, observation
+from polka.plans.views import KEY, catalog, goods, observation
 from polka.session import cut, table
 
 QUERIES: dict = {}
@@ -111,9 +111,19 @@ def bot_report(spark, d):
 
 
 def feed_rows(spark, d):
-    """Catalogue rows as text with headings and repeated headers, from the items table."""
+    """Catalogue rows as text, from the items table; after some rows come a heading, a repeated header, a row without sku, with bad or zero prices, or nothing."""
     c = table(spark, d, "catalog_items")
-    rows = c.select(F.col("row_id").alias("row_idx"), F.col("sku").alias("Код товара"), F.col("product_name").alias("Наименование товара"), F.col("purchase_price").cast("string").alias("Закуп"), F.col("sale_price").cast("string").alias("Розница"), F.when(F.col("promo_price").isNull(), "нет").otherwise(F.col("promo_price").cast("string")).alias("Промо"))
+    names = ("Код товара", "Наименование товара", "Закуп", "Розница", "Промо")
+    cells = [F.col("sku"), F.col("product_name"), F.col("purchase_price").cast("string"), F.col("sale_price").cast("string"), F.coalesce(F.col("promo_price").cast("string"), F.lit("нет"))]
+    rows = c.select(F.col("row_id").alias("row_idx"), *[x.alias(n) for x, n in zip(cells, names, strict=True)])
+    r = F.col("row_id").cast("string")
+    more = {
+        1: (None, F.concat(F.lit("Раздел "), r), None, None, None), 2: ("Код товара", "Наименование товара", "Цена закупки", "Цена продажи", "Цена на промо"), 3: (" - ", "Без кода", "10,50", "1 200,00", "нет"),
+        4: (F.concat(F.lit("bad"), r), "Плохая цена", "abc", "12", "-5"), 5: (F.concat(F.lit("zero"), r), "Ноль", "0", "0.00", "n/a"), 6: (None,) * 5,
+    }
+    text_of = lambda x: x if not isinstance(x, (str, type(None))) else F.lit(x).cast("string")
+    for k, values in more.items():
+        rows = rows.unionByName(c.where(F.col("row_id") % 10 == k).select((F.col("row_id") + 10_000_000).alias("row_idx"), *[text_of(x).alias(n) for x, n in zip(values, names, strict=True)]))
     return rows
 
 
@@ -158,9 +168,26 @@ def source_values(spark, d):
     return cells.groupBy("file_id").agg(F.count_if(text.has_source_value(F.col("cell"))).alias("filled"), F.count("*").alias("cells"))
 
 
+@query
+def sku_valid(spark, d):
+    raw = F.element_at(F.array(*[F.lit(x).cast("string") for x in ("-", "NaN", " None ", "<NA>", "", None)], F.col("sku"), F.concat(F.lit(" "), "sku")), (F.col("row_id") % 8 + 1).cast("int"))
+    return table(spark, d, "catalog_items").select("row_id", text.valid_sku(raw).alias("valid"))
+
+
+@query
+def sku_of_number(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.sku_of_number(F.col("p_partkey") + F.when(F.col("p_size") % 2 == 0, 0.0).otherwise(0.5)).alias("sku"))
+
+
+@query
+def decimal_text(spark, d):
+    raw = F.format_string("Цена %d %03d,%d руб, ЁЛКА", "p_size", F.col("p_partkey") % 1000, F.col("p_size") % 10)
+    return table(spark, d, "part").select("p_partkey", text.decimal_text(raw).alias("text"))
+
+
 @query
 def attrs_extract(spark, d):
-    c = catalog(spark, d).withColumn("a", text.attributes(F.col("name")))
+    c = goods(spark, d).withColumn("a", text.attributes(F.col("name")))
     return c.select("row_idx", "a.fat", "a.volume_ml", "a.weight_g", "a.count")
 
 
@@ -172,7 +199,7 @@ def attrs_items(spark, d):
 
 @query
 def text_normalize(spark, d):
-    return catalog(spark, d).select("row_idx", text.normalize_product_text(F.col("name")).alias("norm"))
+    return goods(spark, d).select("row_idx", text.normalize_product_text(F.col("name")).alias("norm"))
 
 
 @query
@@ -182,7 +209,7 @@ def text_normalize_tags(spark, d):
 
 @query
 def token_sets(spark, d):
-    return catalog(spark, d).select("row_idx", F.array_join(F.array_sort(match.index_tokens(text.normalize_product_text(F.col("name")))), " ").alias("tokens"))
+    return goods(spark, d).select("row_idx", F.array_join(F.array_sort(match.index_tokens(text.normalize_product_text(F.col("name")))), " ").alias("tokens"))
 
 
 @query
@@ -200,6 +227,21 @@ def token_postings(spark, d):
     return match.postings(match.prepare_catalog(catalog(spark, d))).groupBy("bucket").agg(F.count("*").alias("n"), F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"))
 
 
+@query
+def token_postings_bounded(spark, d):
+    """The index with bounds that the table reaches: three tokens of a name, five rows of a bucket."""
+    return match.postings(match.prepare_catalog(catalog(spark, d)), most=5, names=3)
+
+
+@query
+def candidate_shortlist_parts(spark, d):
+    """Every twentieth part asked for by name and type: the four rarest tokens, a pool of fifty."""
+    items = cut(match.prepare_catalog(catalog(spark, d).select("row_idx", "name")), "prepared")
+    asked = table(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("obs_id"), F.concat_ws(" ", "p_name", "p_type").alias("product_name"))
+    pool = match.shortlist(match.queries_of(asked), cut(match.postings(items), "posts"), match.postings(items, "gram"), take=4, most=50)
+    return pool.groupBy("obs_id").agg(F.count("*").alias("candidates"), F.max("hits").alias("most_hits"), F.sum("row_idx").alias("row_sum"))
+
+
 @query
 def ngram_postings(spark, d):
     return match.postings(match.prepare_catalog(catalog(spark, d)), "gram").groupBy("bucket").agg(F.count("*").alias("n"), F.max("row_idx").alias("last_row"))
@@ -239,9 +281,9 @@ def brand_subset_filter(spark, d):
 
 @query
 def attribute_conflict(spark, d):
-    c = catalog(spark, d).select("row_idx", "p_brand", "p_type", text.attributes(F.col("name")).alias("attrs"))
-    lead = c.groupBy("p_brand", "p_type").agg(F.min_by("attrs", "row_idx").alias("first"))
-    return c.join(lead, ["p_brand", "p_type"]).select("row_idx", match.attribute_conflict(F.col("first"), F.col("attrs")).alias("conflict"))
+    c = goods(spark, d).select("row_idx", "p_type", text.attributes(F.col("name")).alias("attrs"))
+    lead = c.groupBy("p_type").agg(F.min_by("attrs", "row_idx").alias("first"))
+    return c.join(lead, "p_type").select("row_idx", match.attribute_conflict(F.col("first"), F.col("attrs")).alias("conflict"))
 
 
 @query

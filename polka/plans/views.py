@@ -36,3 +36,20 @@ def observation(spark: SparkSession, d: str) -> DataFrame:
         F.col("attrs").alias("matched_attrs"), unit.alias("unit"), F.when(F.col("l_quantity") > 49, 1.5).when(F.col("l_quantity") == 48, None).otherwise(1.0 - F.col("l_tax") * 6.0).alias("confidence"),
         F.when(F.col("l_quantity") == 1, "error").otherwise("ok").alias("extraction_status"),
     )
+
+
+# opening, brand and amount of the goods below, by the number of the part
+OPENINGS = ["Мол. у/паст", "М-ло слив.", "Сок ст/б", "Чай пак.", "Вода пл/бут", "Мука фас.", "Сыр в/с", "Колб. в/к"]
+BRANDS = ["Danone", "Hochland", "Dobry", "Greenfield", "President", "Makfa", "Alpen Gold", "Milka"]
+
+
+def goods(spark: SparkSession, d: str) -> DataFrame:
+    """Parts under abbreviated Russian names with fat, volumes, weights, multipacks and counts: ``row_idx, p_type, name``."""
+    p = table(spark, d, "part")
+    kind, s = (F.col("p_partkey") % 8 + 1).cast("int"), F.col("p_size")
+    amounts = [
+        F.format_string("%d,%d%% %d мл", F.floor(s / 2), s % 2 * 5, s * 20), F.format_string("82,5 %% %d г", s * 10), F.format_string("%d x 200 мл", s), F.format_string("%d шт", s),
+        F.format_string("%d,5 л", s), F.format_string("%d кг", s), F.format_string("100%% %dгр", s * 10), F.format_string("1 %03d г", s),
+    ]
+    pick = lambda xs: F.element_at(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in xs]), kind)
+    return p.select(F.col("p_partkey").alias("row_idx"), "p_type", F.concat_ws(" ", pick(OPENINGS), "p_name", pick(BRANDS), pick(amounts)).alias("name"))
