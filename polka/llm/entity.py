@@ -1,6 +1,6 @@
 """Tags and catalogue items without a common key: candidates, evidence, belief propagation.
 
-Candidates share a product-line word up to two edits. Each candidate pair gets log-odds from
+Candidates share a product-line word up to two edits, or are a candidate of another tag of the shelf place. Each candidate pair gets log-odds from
 line, brand, kind, flavour, fat, contents and price. Loopy belief propagation with
 one-to-one factors (a shelf place shows at most one item, an item stands at one place of
 a visit) turns the odds into marginal probabilities; messages are exchanged through joins.
@@ -23,7 +23,7 @@ from polka.llm.fuzzyjoin import similar_words
 from polka.llm.product import Parser
 from polka.functions.measures import in_kopecks, with_price_unit
 from polka.operators.units import deliveries_once
-from polka.session import cut, salted_join
+from polka.session import cut
 
 PARSED = "kind string, flavour string, fat double, dim string, total double, names array<string>, joined array<string>"
 
@@ -100,30 +100,31 @@ def line_words(cat: DataFrame) -> tuple[DataFrame, DataFrame]:
     return words.join(spread.where("line"), "word").select("word", "sku"), spread.where("not line").select("word")
 
 
-def candidates(tags: DataFrame, cat: DataFrame) -> DataFrame:
-    """``tag_id, sku, line, edits, letters``: items whose line word a tag has, exactly or nearly.
+def exact_candidates(tags: DataFrame, lines: DataFrame) -> DataFrame:
+    """``tag_id, sku, line, edits, letters``: items one of whose line words a tag has.
 
-    Tags none of whose words is exactly a line word are looked up by edit distance, and those that
-    this finds nothing for by neighbouring words taken together. Of several words of a pair
-    the nearest counts.
+    A line word of many tags is a skewed key of the join; adaptive execution splits it.
     """
-    lines, others = line_words(cat)
-    lines = cut(lines, "lines")
     said = tags.select("tag_id", F.explode("names").alias("word"))
-    exact = salted_join(said, lines, ["word"], F.col("tag_id")).select("tag_id", "sku", F.col("word").alias("line"), F.lit(0).alias("edits"), F.length("word").alias("letters"))
-    exact = cut(exact, "exact")
-    rest = tags.join(exact.select("tag_id").distinct(), "tag_id", "left_anti")
-    single = _near(rest.select("tag_id", F.explode("names").alias("word")), lines, others)
-    lost = rest.join(single.select("tag_id").distinct(), "tag_id", "left_anti")
+    met = said.join(lines, "word").groupBy("tag_id", "sku").agg(F.min("word").alias("line"))
+    return met.select("tag_id", "sku", "line", F.lit(0).alias("edits"), F.length("line").alias("letters"))
+
+
+def near_candidates(tags: DataFrame, lines: DataFrame, others: DataFrame) -> DataFrame:
+    """As :func:`exact_candidates`, for line words that a tag has nearly; of several words of a pair the nearest counts.
+
+    Tags that this finds nothing for are looked up by neighbouring words taken together.
+    """
+    single = _near(tags.select("tag_id", F.explode("names").alias("word")), lines, others)
+    lost = tags.join(single.select("tag_id").distinct(), "tag_id", "left_anti")
     split = _near(lost.select("tag_id", F.explode("joined").alias("word")), lines, others)
-    close = single.unionByName(split)
-    every = exact.unionByName(close)
+    every = single.unionByName(split)
     return every.groupBy("tag_id", "sku").agg(F.min_by(F.struct("line", "edits", "letters"), F.struct("edits", "line")).alias("b")).select("tag_id", "sku", "b.*")
 
 
 def _near(said: DataFrame, lines: DataFrame, others: DataFrame) -> DataFrame:
-    loose = cut(said.where(F.length("word") >= 5).distinct().join(others, "word", "left_anti"), "loose")
-    near = similar_words(loose, lines.where(F.length("word") >= 5))
+    loose = cut(said.where(F.length("word") >= 4).distinct().join(others, "word", "left_anti"), "loose")
+    near = similar_words(loose, lines)
     close = near.join(loose.withColumnRenamed("word", "left_word"), "left_word").join(lines.withColumnRenamed("word", "right_word"), "right_word")
     return cut(close.select("tag_id", "sku", F.col("right_word").alias("line"), "edits", F.length("right_word").alias("letters")), "near")
 
@@ -139,8 +140,8 @@ def _score(e: Evidence):
         return [w for how, text in readings(brand) if how in ("as", "key", "as1", "key1", "cut") for w in text.split()]
 
     def likeness(b: str, w: str) -> float:
-        if abs(len(b) - len(w)) <= 3:
-            return 1 - distance(b, w, 3) / max(len(b), len(w), 1)
+        if abs(len(b) - len(w)) <= 3 and (d := distance(b, w, 3)) <= 3:
+            return 1 - d / max(len(b), len(w), 1)
         return 0.8 if len(w) >= 3 and b.startswith(w) else 0.0
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,8 +162,8 @@ def _score(e: Evidence):
                         sim = max(sim, alike(b, w))
                 joined = "".join(same)
                 for w in typed:
-                    if joined and abs(len(joined) - len(w)) <= 3:
-                        sim = max(sim, 1 - distance(joined, w, 3) / max(len(joined), len(w)))
+                    if joined and abs(len(joined) - len(w)) <= 3 and (d := distance(joined, w, 3)) <= 3:
+                        sim = max(sim, 1 - d / max(len(joined), len(w)))
                 b = 0
                 if sim >= 0.6:
                     b, s = 1, s + e.brand_same
@@ -217,7 +218,7 @@ def score_candidates(pairs: DataFrame, tags: DataFrame, cat: DataFrame, evidence
     """Log-odds of each candidate pair with the verdict on each attribute (1 agrees, -1 conflicts, 0 unsaid)."""
     t = tags.select("tag_id", "brand", "stated_roubles", "stated_dim", "stated_amount", *[F.col(c).alias(f"t_{c}") for c in ("kind", "flavour", "fat", "dim", "total", "names")])
     i = cat.select("sku", "sale_price", *[F.col(c).alias(f"i_{c}") for c in ("kind", "flavour", "fat", "dim", "total", "names")])
-    wide = salted_join(pairs, i, ["sku"], F.col("tag_id")).join(t, "tag_id")
+    wide = pairs.join(t, "tag_id").join(i, "sku")
     return wide.mapInPandas(_score(evidence), SCORED)
 
 
@@ -275,23 +276,30 @@ def match_tags(price_tags: DataFrame, items: DataFrame, evidence: Evidence = Evi
     """
     cat = cut(catalogue(items), "catalogue")
     tags = cut(parsed_tags(price_tags), "tags")
-    scored = cut(score_candidates(candidates(tags, cat), tags, cat, evidence), "scored")
-    scored = scored.where("flavour_ok >= 0 and fat_ok >= 0 and total_ok >= 0")
+    lines, others = line_words(cat)
+    lines = cut(lines, "lines")
+    score = lambda pairs: score_candidates(pairs, tags, cat, evidence)
+    sound = "flavour_ok >= 0 and fat_ok >= 0 and total_ok >= 0"
+    exact = cut(score(exact_candidates(tags, lines)), "exact")
+    # tags for which no item with exactly one of their words will do
+    rest = tags.join(exact.where(sound).select("tag_id").distinct(), "tag_id", "left_anti")
+    near = score(near_candidates(rest, lines, others)).join(exact.select("tag_id").distinct().withColumn("hit", F.lit(True)), "tag_id", "left")
+    # a tag that has a line word exactly may have misspelt another one, but then kind and brand must speak for that
+    near = cut(near.where(F.col("hit").isNull() | ((F.col("brand_ok") > 0) & (F.col("kind_ok") > 0))).drop("hit"), "near-scored")
+    scored = exact.unionByName(near)
     where = tags.select("tag_id", "place", "visit")
-    located = scored.join(where, "tag_id")
-    # a shelf place is recorded by a few tags that show one item: the place adds up their evidence
+    sizes = cut(where.groupBy("place").agg(F.count("*").alias("size"), F.min("visit").alias("visit")), "places")
+    # a shelf place is recorded by a few tags that show one item: what one of them may show the others may, their line word lost
+    shown = scored.where(sound).join(where, "tag_id").select("place", "sku").distinct()
+    several = where.join(sizes.where("size > 1").select("place"), "place", "left_semi").select("place", "tag_id")
+    missing = several.join(shown, "place").join(scored.select("tag_id", "sku"), ["tag_id", "sku"], "left_anti")
+    faint = score(missing.select("tag_id", "sku", F.lit("").alias("line"), F.lit(3).alias("edits"), F.lit(9).alias("letters")))
+    faint = cut(faint.where(sound).where("kind_ok >= 0 and brand_ok >= 0"), "faint")
+    located = scored.where(sound).unionByName(faint).join(where, "tag_id")
+    # the place adds up their evidence; a tag that nothing speaks for speaks against
     placed = located.groupBy("place", "sku").agg(F.sum("log_odds").alias("log_odds"), F.count("*").alias("tags"))
-    sizes = where.groupBy("place").agg(F.count("*").alias("size"), F.min("visit").alias("visit"))
     placed = placed.join(sizes, "place").withColumn("log_odds", F.col("log_odds") - 4.0 * (F.col("size") - F.col("tags")))
-    marginal = propagate(placed)
-    pairs = located.join(marginal, ["place", "sku"])
-    # tags whose line word was lost beyond two edits, at a place that shows an item for certain
-    sure = marginal.where("probability >= 0.9").select("place", "sku", F.col("probability").alias("p"))
-    shy = where.join(pairs.where(F.col("probability") >= accept).select("tag_id").distinct(), "tag_id", "left_anti").join(sure, "place")
-    shy = cut(shy.select("tag_id", "sku", "p"), "shy")
-    again = score_candidates(shy.select("tag_id", "sku", F.lit("").alias("line"), F.lit(3).alias("edits"), F.lit(9).alias("letters")), tags, cat, evidence)
-    again = again.where("flavour_ok >= 0 and fat_ok >= 0 and total_ok >= 0 and kind_ok >= 0 and brand_ok >= 0").join(shy, ["tag_id", "sku"])
-    pairs = pairs.select("tag_id", "sku", "probability", "log_odds").unionByName(again.select("tag_id", "sku", (F.col("p") * 0.9).alias("probability"), "log_odds"))
+    pairs = located.join(propagate(placed), ["place", "sku"])
     best = pairs.groupBy("tag_id").agg(F.max_by(F.struct("sku", "probability"), F.struct(F.col("probability"), F.col("log_odds"))).alias("b"))
     out = tags.select("tag_id").join(best.select("tag_id", "b.sku", "b.probability"), "tag_id", "left")
     return out.select("tag_id", F.when(F.col("probability") >= accept, F.col("sku")).alias("sku"), "probability")

@@ -404,3 +404,13 @@ def test_statistics():
     assert s["sentence_ratio"] == 1.0 and s["end_ratio"] == 1.0 and s["symbol_ratio"] < 0.1
     assert quality.statistics("") == quality.statistics(None) == dict.fromkeys(quality.NAMES, 0.0)
     assert quality.statistics("1;2;3\n4;5;6")["sentence_ratio"] == 0.0
+
+
+def test_a_tag_without_its_line_word_follows_its_shelf_place(spark):
+    """What the other tags of a place show is a candidate of a tag whose line word is lost, unless that speaks against it."""
+    rows = [
+        (1, "s1", "кофе раств. мемесока 150 г", "Верхополье", None, 450.0, "шт", ""), (2, "s1", "кофе раств. 150 г", "Верхополье", None, 450.0, "шт", ""),
+        (3, "s1", "кофе раств. 95 г", "Верхополье", None, 450.0, "шт", ""), (4, None, "кофе раств. 150 г", "Верхополье", None, 450.0, "шт", ""),
+    ]
+    got = {r["tag_id"]: r["sku"] for r in entity.match_tags(tag_table(spark, rows), item_table(spark)).collect()}
+    assert got == {1: "03", 2: "03", 3: None, 4: None}
