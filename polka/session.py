@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -17,11 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where the cluster names none, as in local tests, a temporary folder is set.
+    Where it is unset a local session (one machine, as in tests) gets a temporary folder; on a cluster, whose
+    executors could not read that, this raises ``RuntimeError``.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = os.environ.get("POLKA_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="polka-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="polka-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -37,13 +40,6 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Broadcast hint only after counting at most ``max_rows`` rows; else a shuffle join."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_of: Column, salts: int = 16, how: str = "inner") -> DataFrame:
     """Equi-join where one key may hold a third of ``big``.
 
