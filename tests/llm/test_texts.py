@@ -414,3 +414,19 @@ def test_a_tag_without_its_line_word_follows_its_shelf_place(spark):
     ]
     got = {r["tag_id"]: r["sku"] for r in entity.match_tags(tag_table(spark, rows), item_table(spark)).collect()}
     assert got == {1: "03", 2: "03", 3: None, 4: None}
+
+
+def test_visits_are_solved_in_one_task_or_by_joins(spark, monkeypatch):
+    """Both ways give the same; visits of the usual size write no table a round, whatever the rounds."""
+    rnd = random.Random(6)
+    rows = [(f"{v}/{p}", v, f"i{i}", rnd.gauss(2, 2)) for v in "abc" for p in range(9) for i in rnd.sample(range(6), 3)]
+    odds = spark.createDataFrame(rows, "place string, visit string, sku string, log_odds double")
+    by_joins = {(r["place"], r["sku"]): r["probability"] for r in entity.propagate(odds, whole=0).collect()}
+    part = {(r["place"], r["sku"]): r["probability"] for r in entity.propagate(odds.union(odds.where("visit = 'a'").selectExpr("concat('n', place)", "'n'", "sku", "log_odds")).where("visit != 'n' or place < 'na/2'"), whole=20).collect()}
+    written = []
+    real = entity.cut
+    monkeypatch.setattr(entity, "cut", lambda df, label="cut": written.append(label) or real(df, label))
+    got = {(r["place"], r["sku"]): r["probability"] for r in entity.propagate(odds).collect()}
+    assert len(got) == len(rows) and got == pytest.approx(by_joins, abs=1e-9)
+    assert {k: v for k, v in part.items() if k in got} == pytest.approx(got, abs=1e-9) and len(part) == len(got) + 6
+    assert written == ["bp-odds", "bp-large", "bp-solved"]
