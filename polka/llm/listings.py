@@ -46,8 +46,8 @@ def with_kinds(df: DataFrame, least: int = 20) -> DataFrame:
     words = df.select("listing_id", "kind", F.explode("names").alias("word"))
     usual = words.where("kind is not null").groupBy("word", "kind").count().groupBy("word").agg(F.max_by("kind", F.struct("count", "kind")).alias("usual"), F.count("*").alias("kinds"))
     lost = words.where("kind is null").select("listing_id", "word")
-    guess = salted_join(lost, usual.where("kinds = 1"), ["word"], F.col("listing_id")).groupBy("listing_id").agg(F.min("usual").alias("usual"))
-    own = salted_join(lost, lost.groupBy("word").count().where(F.col("count") >= least), ["word"], F.col("listing_id")).groupBy("listing_id").agg(F.max_by("word", F.struct("count", "word")).alias("common"))
+    guess = salted_join(lost, usual.where("kinds = 1"), ["word"], F.col("listing_id"), broadcast=False).groupBy("listing_id").agg(F.min("usual").alias("usual"))
+    own = salted_join(lost, lost.groupBy("word").count().where(F.col("count") >= least), ["word"], F.col("listing_id"), broadcast=False).groupBy("listing_id").agg(F.max_by("word", F.struct("count", "word")).alias("common"))
     out = df.join(guess, "listing_id", "left").join(own, "listing_id", "left").withColumn("kind", F.coalesce("kind", "usual", "common", F.lit("?"))).drop("usual", "common")
     return out.withColumn("title", F.md5(F.concat_ws("\x1f", "kind", F.concat_ws(" ", "names"), F.concat_ws(" ", "joined"))))
 
@@ -76,7 +76,7 @@ def word_roles(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_kind = words.groupBy("kind", "word").agg(F.sum("n").alias("n"), F.max("own").alias("own"))
     used = cut(by_kind.groupBy("word").agg(F.sum("n").alias("used"), F.count("*").alias("kinds"), (F.max("n") / F.sum("n")).alias("top")), "word-use")
     spread = (F.col("kinds") >= 3) & (F.col("top") <= 0.8)
-    own = salted_join(words.where("own").select("title", "kind", "n", "word"), used.select("word", "used", spread.alias("many")), ["word"], F.col("title"))
+    own = salted_join(words.where("own").select("title", "kind", "n", "word"), used.select("word", "used", spread.alias("many")), ["word"], F.col("title"), broadcast=False)
     lists = cut(own.groupBy("title").agg(F.first("kind").alias("kind"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("used", "word", "many"))).alias("w")), "title-lists")
     # the companion of a word: the commonest other word of the title that many kinds have
     common = lists.select("kind", "n", "w", F.filter("w", lambda x: x["many"]).alias("m"))
@@ -238,7 +238,7 @@ def spellings(words: DataFrame, roles: DataFrame, local: DataFrame, window: int
     """
     own = words.where("own")
     # rare words weigh more: common ones are brands and advertising
-    weighed = salted_join(own.select("title", "kind", "word"), roles.select("word", "used", "brand"), ["word"], F.col("title"))
+    weighed = salted_join(own.select("title", "kind", "word"), roles.select("word", "used", "brand"), ["word"], F.col("title"), broadcast=False)
     weight = 1.0 + 4.0 / (1.0 + F.log1p("used"))
     lists = weighed.groupBy("title").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("used", "word", weight.alias("weight")))).alias("words"))
     lists = lists.select("title", "kind", F.transform("words", lambda x: F.struct(x["word"].alias("word"), x["weight"].alias("weight"))).alias("words"))
@@ -344,11 +344,11 @@ def group_listings(listings: DataFrame, window: int = WINDOW) -> DataFrame:
     words = cut(title_words(df), "title-words")
     roles, local = word_roles(words)
     canon = spellings(words, roles, local, window)
-    said = salted_join(words, canon, ["kind", "word"], F.col("title"))
+    said = salted_join(words, canon, ["kind", "word"], F.col("title"), broadcast=False)
     size = canon.join(local, ["kind", "word"]).groupBy("kind", "canon").agg(F.sum("n").alias("size"))
     spread = size.groupBy("canon").agg((F.max("size") / F.sum("size")).alias("top"))
     what = local.select("kind", F.col("word").alias("canon"), "role").join(size, ["kind", "canon"]).join(spread, "canon").join(roles.select(F.col("word").alias("canon"), "brand"), "canon")
-    said = salted_join(said.select("title", "kind", "canon", "own"), cut(what, "canon-roles"), ["kind", "canon"], F.col("title"))
+    said = salted_join(said.select("title", "kind", "canon", "own"), cut(what, "canon-roles"), ["kind", "canon"], F.col("title"), broadcast=False)
     # of several words that may name the line: one of one kind and used again, the most used, then the longest
     steady = ((F.col("top") >= 0.75) & (F.col("size") >= 2)).cast("int")
     line = F.max_by("canon", F.when(F.col("role") == "line", F.struct(steady, "size", "own", F.length("canon"), "canon")))

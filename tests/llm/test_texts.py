@@ -430,3 +430,24 @@ def test_visits_are_solved_in_one_task_or_by_joins(spark, monkeypatch):
     assert len(got) == len(rows) and got == pytest.approx(by_joins, abs=1e-9)
     assert {k: v for k, v in part.items() if k in got} == pytest.approx(got, abs=1e-9) and len(part) == len(got) + 6
     assert written == ["bp-odds", "bp-large", "bp-solved"]
+
+
+def test_salted_sides_that_grow_are_not_broadcast(spark):
+    """Both small enough to broadcast by their estimate; repeated per salt the driver would hold all copies."""
+    from pyspark.sql import functions as F
+
+    from polka.session import salted_join
+
+    big, small = spark.range(50).selectExpr("id", "id % 5 as k"), spark.range(5).selectExpr("id as k", "id * 2 as v")
+    plan = lambda **x: salted_join(big, small, ["k"], F.col("id"), **x)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan() and "Broadcast" not in plan(broadcast=False)
+    assert {(r["id"], r["v"]) for r in salted_join(big, small, ["k"], F.col("id"), broadcast=False).collect()} == {(i, i % 5 * 2) for i in range(50)}
+    lists = spark.createDataFrame([("t", "k", 1, "w", True)], "title string, kind string, n bigint, word string, own boolean")
+    shapes = []
+    real = listings.salted_join
+    listings.salted_join = lambda *a, **x: shapes.append(x.get("broadcast", True)) or real(*a, **x)
+    try:
+        listings.word_roles(lists)
+    finally:
+        listings.salted_join = real
+    assert shapes == [False]
