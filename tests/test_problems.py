@@ -102,3 +102,18 @@ def test_unknown_fields_stay_in_the_query(spark, tmp_path):
 def test_value_kinds(spark):
     df = spark.createDataFrame([("12",), ("1 200",), ("12,5",), ("01.02.2025",), ("2025-01-02",), ("20%",), ("нет",), (None,)], "v string")
     assert [r["k"] for r in df.select(feeds.value_kind(F.col("v")).alias("k")).collect()] == ["whole", "whole", "decimal", "date", "date", "text", None, None]
+
+
+def test_pairs_of_stated_units_fit_no_forest(spark, tmp_path, monkeypatch):
+    rows = [(i, f"p{i // 2}", "Мука", "2 кг", 100.0 + i // 2 if i % 2 else 50.0 + i // 4, "уп" if i % 2 else "кг" if i % 8 else None) for i in range(160)]
+    cols = "tag_id bigint, shelf_ref string, product_name string, weight_volume string, regular_price double, unit string, notes string, promo_price double, capture_source string"
+    spark.createDataFrame([(*r, None, None, None) for r in rows], cols).write.parquet(f"{tmp_path}/price_tags.parquet")
+    tags = spark.read.parquet(f"{tmp_path}/price_tags.parquet")
+    want = {tuple(r) for r in units.same_price_in_other_units(units.convert_units(tags)).collect()}
+
+    def fit(*_):
+        raise AssertionError("p3_found fits a forest that its pairs do not use")
+
+    monkeypatch.setattr(units, "fit_unit_model", fit)
+    got = {tuple(r) for r in problems.p3_found(spark, str(tmp_path)).collect()}
+    assert got == want and got
