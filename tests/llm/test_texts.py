@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import glob
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -451,3 +453,41 @@ def test_salted_sides_that_grow_are_not_broadcast(spark):
     finally:
         listings.salted_join = real
     assert shapes == [False]
+
+
+def test_words_within_the_allowed_edits_share_a_key():
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("абв") for _ in range(n))
+    words = [word(rng.randint(1, 9)) for _ in range(300)]
+    keys = [set(k) for k in fuzzyjoin.deletion_keys(words)]
+    assert fuzzyjoin.deletion_keys([]) == [] and len(fuzzyjoin.deletion_keys(["абвгдежз"])[0]) == 1 + 8 + 28
+    near = [(a, b) for a in range(300) for b in range(a) if forms.distance(words[a], words[b]) <= min(fuzzyjoin.edits_allowed(len(words[x])) for x in (a, b))]
+    assert len(near) > 100 and all(keys[a] & keys[b] for a, b in near)
+    # and nothing else: a shared key is a shared rest of letters
+    left = [forms.deletes(w, fuzzyjoin.edits_allowed(len(w))) for w in words]
+    assert all(bool(keys[a] & keys[b]) == bool(left[a] & left[b]) for a in range(300) for b in range(a))
+
+
+def test_matching_leaves_no_shuffle_files(spark):
+    dirs = [d.getPath() for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before = files()
+    got = {r["tag_id"]: r["sku"] for r in entity.match_tags(tag_table(spark, [*TAGS, TAGS[0]]), item_table(spark)).collect()}
+    end = time.time() + 20
+    while len(left := files() - before) > 8 and time.time() < end:
+        time.sleep(0.5)
+    # those of the spread tags stay as long as the driver knows of them
+    assert len(left) <= 8
+    assert got[1] == "01" and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_a_tag_without_a_price_gets_no_evidence_from_it(spark):
+    rows = [(1, "s1", "кофе раств. Мемесока 95 г", "Верхополье", None, None, "шт", ""), (2, "s2", "кофе раств. Мемесока 95 г", "Верхополье", None, 300.0, "шт", "")]
+    tags = entity.parsed_tags(tag_table(spark, rows))
+    cat = entity.catalogue(item_table(spark))
+    lines, _ = entity.line_words(cat)
+    met = entity.exact_candidates(tags, lines)
+    # the other contents conflict and say only that there is a candidate
+    assert sorted((r["tag_id"], r["sku"] or "") for r in met.collect()) == [(1, ""), (1, "04"), (2, ""), (2, "04")]
+    odds = {r["tag_id"]: r["log_odds"] for r in entity.score_candidates(entity._by_tag(met.where("sku is not null")), tags).collect()}
+    assert odds == {1: 7.0, 2: 9.0}
