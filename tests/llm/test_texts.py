@@ -491,3 +491,21 @@ def test_a_tag_without_a_price_gets_no_evidence_from_it(spark):
     assert sorted((r["tag_id"], r["sku"] or "") for r in met.collect()) == [(1, ""), (1, "04"), (2, ""), (2, "04")]
     odds = {r["tag_id"]: r["log_odds"] for r in entity.score_candidates(entity._by_tag(met.where("sku is not null")), tags).collect()}
     assert odds == {1: 7.0, 2: 9.0}
+
+
+def test_matching_tags_broadcasts_no_side(spark, monkeypatch):
+    """No table is sent to the driver to be broadcast, however small the planner takes it for; the settings come back."""
+    plans, real = {}, entity.cut
+
+    def seen(df, label="cut"):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, label)
+
+    monkeypatch.setattr(entity, "cut", seen)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    got = {r["tag_id"]: r["sku"] for r in entity.match_tags(tag_table(spark, TAGS), item_table(spark)).collect()}
+    assert got[1] == "01" and got[6] == "05"
+    assert {"lines", "met", "near", "exact", "matched"} <= plans.keys()
+    assert not [label for label, plan in plans.items() if "Broadcast" in plan]
+    assert spark.conf.get(name) == before and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
